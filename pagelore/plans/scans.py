@@ -326,9 +326,11 @@ def content_type(t: Inputs):
 
 @query("src_23_pdf_pages", """
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-c AS (SELECT doc_id, n, trim(regexp_replace(x, ' +', ' ', 'g')) AS x FROM p)
+c0 AS (SELECT doc_id, n, trim(regexp_replace(x, ' +', ' ', 'g')) AS x FROM p),
+c AS (SELECT *, CASE WHEN length(x) < 100 AND x = upper(x) AND x <> lower(x) AND len(string_split(x, ' ')) < 10
+  THEN '## ' || array_to_string(list_transform(string_split(lower(x), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE x END AS m FROM c0)
 SELECT doc_id, count(*) AS n_pages, md5(string_agg('CHAPTER ' || n || chr(10) || chr(10) || x, chr(10) || chr(10) ORDER BY n)) AS text_md5,
-  md5(string_agg('## Chapter ' || n || chr(10) || chr(10) || x, chr(10) || chr(10) ORDER BY n)) AS markdown_md5 FROM c WHERE x <> '' GROUP BY doc_id""")
+  md5(string_agg('## Chapter ' || n || chr(10) || chr(10) || m, chr(10) || chr(10) ORDER BY n)) AS markdown_md5 FROM c WHERE x <> '' GROUP BY doc_id""")
 def pdf_pages(t: Inputs):
     """Every document line becomes a page with a capital heading and extraction noise, then cleaned and joined."""
     pages = (t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
