@@ -123,9 +123,9 @@ def _vocabulary(s: Column) -> Column:
 
 
 def _counts(toks: Column) -> Column:
-    """Distinct words with their counts: sort once, then take the run starts."""
-    d = F.array_distinct(toks)
-    return F.map_from_arrays(d, F.transform(d, lambda w: F.size(toks) - F.size(F.array_remove(toks, w))))
+    """Distinct words with their counts."""
+    return X.let(toks, lambda a: X.let(F.array_distinct(a), lambda d: F.map_from_arrays(d, F.transform(
+        d, lambda w: F.size(F.filter(a, lambda x: x == w))))))
 
 
 def cosine_counts(a: Column, b: Column) -> Column:
@@ -137,13 +137,17 @@ def cosine_counts(a: Column, b: Column) -> Column:
 
 def coherence(sents: Column, window: int = 3) -> Column:
     """Cosine of the word counts of neighbouring windows of `window` sentences."""
-    n = F.size(sents)
-    # two layers: the vocabularies are an array of maps, made once and then read pairwise
-    vocab = F.when(n > window, F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), lambda i: _counts(
-        _vocabulary(F.array_join(F.slice(sents, i + 1, F.lit(window)), " ")))))
-    pairs = F.arrays_zip(F.slice(vocab, F.lit(1), F.greatest(F.size(vocab) - 1, F.lit(0))).alias("a"),
-                         F.slice(vocab, F.lit(2), F.greatest(F.size(vocab) - 1, F.lit(0))).alias("b"))
-    return F.coalesce(F.transform(pairs, lambda p: cosine_counts(p["a"], p["b"])), F.array().cast("array<double>"))
+    def over(words):
+        n = F.size(words)
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))),
+                           lambda i: _counts(F.flatten(F.slice(words, i, F.lit(window)))))
+
+    def pairs(v):
+        m = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, F.lit(2), m), cosine_counts)
+
+    empty = F.array().cast("array<double>")
+    return X.let(F.transform(sents, _vocabulary), lambda w: F.when(F.size(w) > window, X.let(over(w), pairs)).otherwise(empty))
 
 
 def topic_boundaries(sim: Column, n: Column, window: int = 3, threshold: float = 0.3) -> Column:
@@ -155,14 +159,18 @@ def topic_boundaries(sim: Column, n: Column, window: int = 3, threshold: float =
     return F.concat(F.when(n > window * 2, cuts).otherwise(F.array().cast("array<int>")), F.array(n))
 
 
-def topic_chunks_from(text: Column, sents: Column, sim: Column, window: int = 3, min_length: int = 100) -> Column:
+def topic_chunks(c: Column, window: int = 3, min_length: int = 100) -> Column:
     """Chunks between the boundaries; a small one joins the chunk before it."""
-    n = F.size(sents)
-    cuts = topic_boundaries(sim, n, window)
-    pieces = F.transform(cuts, lambda b, i: F.array_join(F.slice(
-        sents, F.coalesce(F.get(cuts, i - 1), F.lit(0)) + 1, b - F.coalesce(F.get(cuts, i - 1), F.lit(0))), " "))
-    merged = _fold(pieces, lambda cur, s: F.length(s) < min_length, _space)
-    return F.when(F.trim(text) == "", F.array().cast(STRINGS)).when(n <= window, F.array(text)).otherwise(merged)
+    def pieces(sents, cuts):
+        start = lambda i: F.coalesce(F.get(cuts, i - 1), F.lit(0))
+        return F.transform(cuts, lambda b, i: F.array_join(F.slice(sents, start(i) + 1, b - start(i)), " "))
+
+    def make(sents):
+        cuts = X.let(coherence(sents, window), lambda sim: topic_boundaries(sim, F.size(sents), window))
+        merged = _fold(X.let(cuts, lambda k: pieces(sents, k)), lambda cur, s: F.length(s) < min_length, _space)
+        return F.when(F.size(sents) <= window, F.array(c)).otherwise(merged)
+
+    return F.when(F.trim(c) == "", F.array().cast(STRINGS)).otherwise(X.let(sentence_chunks(c, 20), make))
 
 
 def merge_small(arr: Column, target: int = 1000, max_size: int = 2000) -> Column:

@@ -33,6 +33,12 @@ BASIC_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")
 SENTENCE_BOUNDARY = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<![A-Z][A-Z]\.)(?<=[.!?])\s+"
 
 
+def let(value: Column, fn) -> Column:
+    """fn applied to a value computed once. A lambda variable is bound per element, so the expression is
+    not repeated where fn uses it several times or inside further lambdas."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 @F.arrow_udf(T.StringType())
 def unescape(v: pa.Array) -> pa.Array:
     """All HTML entities, numeric ones included."""
@@ -136,49 +142,53 @@ def truncate_words(c: Column, max_length: int, ellipsis: str = "...") -> Column:
 
 def quality_score(c: Column, min_words: int = 50) -> Column:
     """Mean of length, sentence length, diversity and letter share; short texts get half their share."""
-    t = sanitize(c)
-    ws = words(t)
-    n = F.size(ws)
-    n_sent = F.size(sentences(t))
-    per = n / n_sent
-    band = F.when(per.between(15, 20), 1.0).when(per.between(10, 30), 0.8).otherwise(0.5)
-    distinct = F.size(F.array_distinct(F.filter(F.transform(ws, F.lower), lambda w: F.length(w) > 3)))
-    diversity = F.least(F.lit(1.0), distinct / (n * 0.5))
-    alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}\s]")) / F.length(t)
-    score = (F.least(F.lit(1.0), n / 500) + band + diversity + alnum) / 4
-    return F.when(n == 0, 0.0).when(n < min_words, n / min_words * 0.5).otherwise(score)
+    def full(t, ws):
+        n = F.size(ws)
+        per = n / F.size(sentences(t))
+        band = F.when(per.between(15, 20), 1.0).when(per.between(10, 30), 0.8).otherwise(0.5)
+        distinct = F.size(F.array_distinct(F.filter(F.transform(ws, F.lower), lambda w: F.length(w) > 3)))
+        diversity = F.least(F.lit(1.0), distinct / (n * 0.5))
+        alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}\s]")) / F.length(t)
+        score = (F.least(F.lit(1.0), n / 500) + let(band, lambda x: x) + diversity + alnum) / 4
+        return F.when(n == 0, 0.0).when(n < min_words, n / min_words * 0.5).otherwise(score)
+
+    return let(sanitize(c), lambda t: let(words(t), lambda ws: full(t, ws)))
 
 
 def snippet(text: Column, query: Column, max_length: int = 200, context_words: int = 10) -> Column:
     """Best sentence for the query terms, else the words around the earliest hit, else a hard cut."""
-    t = sanitize(text)
+    def around(t, first):
+        def cut(ws, at):
+            start = F.greatest(F.lit(0), at - context_words)
+            end = F.least(F.size(ws), at + context_words + 1)
+            return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(F.slice(ws, start + 1, end - start), " "),
+                            F.when(end < F.size(ws), "...").otherwise(""))
+
+        at = F.size(F.split(F.substring(t, F.lit(1), first), " ")) - 1
+        piece = let(words(t), lambda ws: let(at, lambda i: cut(ws, i)))
+        return let(piece, lambda s: F.when(F.length(s) > max_length, F.concat(F.substring(s, 1, max_length - 3), F.lit("..."))).otherwise(s))
+
+    def choose(t, terms):
+        scored = F.transform(sentences(t), lambda s, i: F.struct(
+            F.size(F.filter(terms, lambda q: F.contains(F.lower(s), q))).alias("hits"), (-i).alias("order"), s.alias("s")))
+        first = let(F.lower(t), lambda low: F.array_min(F.filter(F.transform(terms, lambda q: F.instr(low, q)), lambda p: p > 0)))
+        hard = F.concat(F.substring(t, 1, max_length), F.lit("..."))
+        rest = let(first, lambda p: F.when(p.isNull(), hard).otherwise(around(t, p)))
+        best = F.array_max(F.filter(scored, lambda x: x["hits"] > 0))
+        return F.when(F.size(terms) == 0, hard).otherwise(
+            let(best, lambda b: F.when(b.isNotNull() & (F.length(b["s"]) <= max_length), b["s"]).otherwise(rest)))
+
     terms = F.filter(F.transform(words(query), F.lower), lambda w: F.length(w) > 2)
-    scored = F.transform(sentences(t), lambda s, i: F.struct(
-        F.size(F.filter(terms, lambda q: F.contains(F.lower(s), q))).alias("hits"), (-i).alias("order"), s.alias("s")))
-    best = F.array_max(F.filter(scored, lambda x: x["hits"] > 0))
-    low = F.lower(t)
-    first = F.array_min(F.filter(F.transform(terms, lambda q: F.instr(low, q)), lambda p: p > 0))
-    ws = words(t)
-    at = F.size(F.split(F.substring(t, F.lit(1), first), " ")) - 1
-    start = F.greatest(F.lit(0), at - context_words)
-    end = F.least(F.size(ws), at + context_words + 1)
-    around = F.concat(F.when(start > 0, "...").otherwise(""),
-                      F.array_join(F.slice(ws, start + 1, end - start), " "),
-                      F.when(end < F.size(ws), "...").otherwise(""))
-    around = F.when(F.length(around) > max_length,
-                    F.concat(F.substring(around, 1, max_length - 3), F.lit("..."))).otherwise(around)
-    hard = F.concat(F.substring(t, 1, max_length), F.lit("..."))
-    return (F.when(F.length(t) <= max_length, t)
-            .when(F.size(terms) == 0, hard)
-            .when(best.isNotNull() & (F.length(best["s"]) <= max_length), best["s"])
-            .when(first.isNull(), hard)
-            .otherwise(around))
+    return let(sanitize(text), lambda t: F.when(F.length(t) <= max_length, t).otherwise(let(terms, lambda q: choose(t, q))))
 
 
 def language_of(c: Column) -> Column:
     """Language whose function words and letters cover most of the text; null below 20 characters."""
     toks = F.split(F.lower(c), r"[^\p{L}]+")
-    share = [F.struct(F.size(F.filter(toks, lambda w, s=s: F.array_contains(literal_set(s), w))).alias("n"),
-                      F.lit(lang).alias("lang")) for lang, s in sorted(STOP_WORDS.items())]
-    best = F.array_max(F.array(*share))
-    return F.when((F.length(c) >= 20) & (best["n"] > 0), best["lang"])
+
+    def share(toks, lang):
+        hits = F.filter(toks, lambda w: w.isin(STOP_WORDS[lang]))
+        return F.struct(F.size(hits).alias("n"), F.lit(lang).alias("lang"))
+
+    best = let(toks, lambda w: F.array_max(F.array(*[share(w, k) for k in sorted(STOP_WORDS)])))
+    return F.when(F.length(c) >= 20, let(best, lambda b: F.when(b["n"] > 0, b["lang"])))

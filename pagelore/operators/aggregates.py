@@ -118,7 +118,7 @@ def credits(rerank: Column, answer: Column, production: Column, safety: Column)
 
 def key_findings(text: Column, k: int = 10) -> Column:
     """First k lines that start with a digit, dash or bullet and have 21 to 299 characters."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
     return F.slice(F.filter(lines, lambda x: x.rlike(r"^[0-9\-•]") & (F.length(x) > 20) & (F.length(x) < 300)), 1, k)
 
 
