@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Patterns and confidence of the regular expression finder.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -21,15 +23,14 @@ def find_entities(df: DataFrame, text: str, url: str, context: int = 50) -> Data
     The position of the n-th match is the length of the first n pieces between matches plus the earlier
     matches, so one pass over the row gives values and offsets without leaving the JVM.
     """
-    rows = []
-    for kind, p in PATTERNS.items():
-        pat = "(?i)" + p
-        hits = F.regexp_extract_all(F.col(text), F.lit(pat), 0)
-        gaps = F.split(F.col(text), pat)
-        start = lambda i, h=hits, g=gaps: F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
-            F.slice(h, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        rows.append(F.transform(hits, lambda v, i, k=kind, st=start: F.struct(
-            F.lit(k).alias("entity_type"), i.alias("idx"), v.alias("value"), st(i).alias("at"))))
+    def matches(kind, pattern):
+        size = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + F.length(x))
+        hits = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
+        return let(hits, lambda h: let(F.when(F.size(h) > 0, F.split(F.col(text), pattern)), lambda g: F.transform(h, lambda v, i: F.struct(
+            F.lit(kind).alias("entity_type"), i.alias("idx"), v.alias("value"),
+            (size(F.slice(g, F.lit(1), i + 1)) + size(F.slice(h, F.lit(1), i))).alias("at")))))
+
+    rows = [matches(kind, "(?i)" + p) for kind, p in PATTERNS.items()]
     d = df.select(url, text, F.explode(F.concat(*rows)).alias("e"))
     lo = F.greatest(F.col("e.at") - context, F.lit(0))
     hi = F.col("e.at") + F.length("e.value") + context
