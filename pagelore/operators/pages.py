@@ -263,11 +263,10 @@ def table_rows(t: DataFrame) -> DataFrame:
     trs, cells = dom.elements(sub, "tr"), dom.elements(sub, "td,th")
     within = lambda arr, o: F.filter(arr, lambda n: (n["id"] > o["id"]) & (n["id"] <= o["last"]))
     thead, tbody = dom.first(sub, "thead"), dom.first(sub, "tbody")
-    first_row = F.get(trs, F.lit(0))
-    th_first = F.size(F.filter(within(cells, first_row), lambda c: c["tag"] == "th"))
-    td_first = F.size(F.filter(within(cells, first_row), lambda c: c["tag"] == "td"))
+    head_like = let(F.get(trs, F.lit(0)), lambda r: let(within(cells, r), lambda cs: F.size(
+        F.filter(cs, lambda c: c["tag"] == "th")) > F.size(F.filter(cs, lambda c: c["tag"] == "td"))))
     d = t.withColumns({"trs": trs, "cells": cells, "anchors": dom.elements(sub, "a[href]"), "thead": thead, "tbody": tbody,
-                       "head1": F.coalesce(th_first > td_first, F.lit(False))})
+                       "head1": F.coalesce(head_like, F.lit(False))})
     head = F.when(F.col("thead").isNotNull(), within(F.col("trs"), F.col("thead"))).when(F.col("head1"), F.slice("trs", 1, 1)).otherwise(F.slice("trs", 1, 0))
     body = (F.when(F.col("thead").isNotNull() & F.col("tbody").isNotNull(), within(F.col("trs"), F.col("tbody")))
             .when(F.col("thead").isNotNull(), F.filter("trs", lambda r: r["id"] > F.col("thead.last")))
