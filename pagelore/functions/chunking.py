@@ -29,10 +29,12 @@ def identity_chunks(c: Column) -> Column:
 
 def regex_chunks(c: Column, patterns=(r"\n\n", r"\n", r"\. "), max_length: int = 5000, min_length: int = 10) -> Column:
     """Each pattern in turn splits the pieces that are still too long."""
+    def split_long(pattern):
+        return lambda s: F.when(F.length(s) > max_length, _nonblank(F.split(s, pattern))).otherwise(F.array(s))
+
     arr = F.array(c)
     for p in patterns:
-        arr = F.flatten(F.transform(arr, lambda s, p=p: F.when(
-            F.length(s) > max_length, _nonblank(F.split(s, p))).otherwise(F.array(s))))
+        arr = F.flatten(F.transform(arr, split_long(p)))
     return F.filter(arr, lambda s: F.length(strip(s)) >= min_length)
 
 
