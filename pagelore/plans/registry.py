@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +36,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Inputs(spark, folder))
 
         run.__name__ = name

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +74,20 @@ def table_once(spark: SparkSession, scope: str, name: str, make) -> DataFrame:
         make().write.mode("overwrite").parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor."""
+    app = spark.sparkContext.applicationId
+    if _FALLBACK.get(f"shipped:{app}"):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "pagelore.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "pagelore")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    _FALLBACK[f"shipped:{app}"] = target
