@@ -126,7 +126,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def parsed_pages(t) -> DataFrame:
     """Parsed form of the page table, built once per application and read back as Parquet."""
-    return table_once(t.spark, t.folder, "parsed_pages", lambda: parse_pages(t.pages))
+    return table_once(t.spark, t.folder, "parsed_pages", lambda: parse_pages(t.spread("pages")))
 
 
 _SIMPLE = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)?|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[\^*$]?=)['"]?(?P<val>[^'"\]]*)['"]?)?\]""",

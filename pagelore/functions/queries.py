@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls as U
-from .text import index_tokens
+from .text import index_tokens, let
 
 # Signal words and host lists of the relevance rules.
 KEYWORD_STOP = ("a an the is are was were be been being have has had do does did will would could should may might must "
@@ -114,7 +114,7 @@ def intent_match(name: Column, kind: Column) -> Column:
 def relevance_parts(kw: Column, query: Column, url: Column, title: Column, text: Column, kind: Column, name: Column) -> dict[str, Column]:
     """Components; keywords match as substrings."""
     n = F.greatest(F.size(kw), F.lit(1))
-    found = lambda c: F.size(F.filter(kw, lambda k: F.contains(c, k)))
+    found = lambda c: let(c, lambda x: F.size(F.filter(kw, lambda k: F.contains(x, k))))
     low = F.lower(text)
     return {
         "title_score": F.least(F.lit(0.35), found(F.lower(title)) / n * 0.35),
@@ -134,8 +134,7 @@ def research_relevance(query: Column, title: Column, text: Column, quality: Colu
     terms = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""))
     n = F.greatest(F.size(terms), F.lit(1))
     in_title = F.size(F.array_intersect(terms, F.split(F.lower(title), r"\s+")))
-    low = F.lower(text)
-    in_text = F.size(F.filter(terms, lambda w: F.contains(low, w)))
+    in_text = let(F.lower(text), lambda low: F.size(F.filter(terms, lambda w: F.contains(low, w))))
     return F.least(F.lit(1.0), in_title / n * 0.3 + in_text / n * 0.4 + quality * 0.2 + F.when(n_words >= 500, 0.1).when(n_words >= 200, 0.05).otherwise(0.0))
 
 

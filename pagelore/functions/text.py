@@ -89,9 +89,14 @@ def literal_set(values) -> Column:
 
 def clean_tokens(tokens: Column, language: str = "en") -> Column:
     """Lower-cased alphabetic tokens that are no stop words and longer than one letter."""
-    stop = literal_set(STOP_WORDS[language])
     low = F.transform(tokens, lambda t: F.lower(F.trim(t)))
-    return F.filter(low, lambda t: t.rlike(r"^\p{L}{2,}$") & ~F.array_contains(stop, t))
+    # isin() over literals becomes a hash set, array_contains() would walk the list per token
+    return F.filter(low, lambda t: ~t.isin(STOP_WORDS[language]) & t.rlike(r"^\p{L}{2,}$"))
+
+
+def text_tokens(c: Column, language: str = "en") -> Column:
+    """Clean tokens of a whole text: as clean_tokens(words(lower(c))), in a single pass over the words."""
+    return F.filter(F.split(squeeze(F.lower(c)), " "), lambda t: ~t.isin(STOP_WORDS[language]) & t.rlike(r"^\p{L}{2,}$"))
 
 
 def index_tokens(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_tokens, words
+from ..functions.text import text_tokens
 from .skew import spread_join, top_per_key
 
 # Okapi parameters; a negative idf becomes eps times the mean idf.
@@ -68,7 +68,7 @@ def best_blocks(scores: DataFrame, page: str, block: str, k: int = 10, threshold
 
 
 def query_tokens(c: Column, language: str = "en") -> Column:
-    return clean_tokens(words(F.lower(c)), language)
+    return text_tokens(c, language)
 
 
 def rerank(hits: DataFrame, query: str, score: Column, tie: str, k: int) -> DataFrame:

@@ -262,7 +262,7 @@ TOK = "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 WITH t AS (SELECT doc_id, {TOK} AS tok FROM documents) SELECT tok, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1 ORDER BY tf DESC, tok LIMIT 20""")
 def term_statistics(t: Inputs):
     """Corpus term and document frequency, top twenty. Counting per (term, document) first keeps hot terms cheap."""
-    tok = t.documents.select("doc_id", F.explode(X.index_tokens(F.col("text"))).alias("tok"))
+    tok = t.spread("documents").select("doc_id", F.explode(X.index_tokens(F.col("text"))).alias("tok"))
     per = tok.groupBy("tok", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("tok").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df")).orderBy(F.col("tf").desc(), "tok").limit(20)
 
@@ -271,7 +271,7 @@ def term_statistics(t: Inputs):
 WITH t AS (SELECT doc_id, {TOK} AS tok FROM documents), f AS (SELECT tok, min(doc_id) AS doc_id FROM t GROUP BY 1)
 SELECT doc_id, count(*) AS tokens, count(DISTINCT tok) AS terms, (SELECT count(*) FROM f WHERE f.doc_id = t.doc_id) AS new_terms FROM t GROUP BY 1""")
 def new_terms(t: Inputs):
-    tok = t.documents.select("doc_id", F.explode(X.index_tokens(F.col("text"))).alias("tok"))
+    tok = t.spread("documents").select("doc_id", F.explode(X.index_tokens(F.col("text"))).alias("tok"))
     return A.first_seen_terms(tok, "doc_id", "doc_id")
 
 

@@ -11,7 +11,7 @@ STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def rows(t: Inputs, col):
-    return t.documents.select("doc_id", F.posexplode(col).alias("idx", "chunk")).select("doc_id", "idx", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("chunk_md5"))
+    return t.spread("documents").select("doc_id", F.posexplode(col).alias("idx", "chunk")).select("doc_id", "idx", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("chunk_md5"))
 
 
 def out_sql(cte: str) -> str:
@@ -71,5 +71,5 @@ SELECT doc_id, 'fixed', CASE WHEN length(text) <= 1000 THEN 1 ELSE len(list_filt
 def dispatch(t: Inputs):
     """Strategies by name through the registry."""
     from ..functions.strategies import CHUNKERS
-    d = [t.documents.select("doc_id", F.lit(s).alias("strategy"), F.size(CHUNKERS[s](F.col("text"))).cast("long").alias("n")) for s in ("identity", "fixed")]
+    d = [t.spread("documents").select("doc_id", F.lit(s).alias("strategy"), F.size(CHUNKERS[s](F.col("text"))).cast("long").alias("n")) for s in ("identity", "fixed")]
     return d[0].unionByName(d[1])

@@ -43,7 +43,7 @@ def product_pages(t: Inputs):
         F.lit("<ul><li>one<ul><li>inner</li></ul></li><li>two</li></ul><ol><li>first<li>second</ol><pre><code class=\"language-python\">x = 1\n  y = "), k,
         F.lit("</code></pre><blockquote>Quote "), b, F.lit('</blockquote><div class="card"><h3>Card '), n, F.lit('</h3><span class="price">$'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
         F.lit('</span><a class="more" href="buy/'), k, F.lit('">buy</a></div><div class="card"><h3>Spare</h3></div><p hidden>secret</p></body></html>'))
-    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.org/list/"), k).alias("url"), html.alias("html"))
+    return t.spread("part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.org/list/"), k).alias("url"), html.alias("html"))
 
 
 def products(t: Inputs):
@@ -240,7 +240,7 @@ WITH m AS (SELECT doc_id, 'email' AS k, regexp_extract_all(text, '(?i)\b[A-Za-z0
   UNION ALL SELECT doc_id, 'date', regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b') FROM documents UNION ALL SELECT doc_id, 'url', regexp_extract_all(text, '(?i)https?://[^\s<>"{}|\\^`\[\]]+') FROM documents)
 SELECT 'doc' || doc_id || ':regex:' || k || ':' || (generate_subscripts(v, 1) - 1) AS id, unnest(v) AS value, 0.8::DOUBLE AS confidence FROM m""")
 def regex_entities(t: Inputs):
-    return E.find_entities(t.documents.select(F.concat(F.lit("doc"), "doc_id").alias("u"), "text"), "text", "u").select("id", "value", "confidence")
+    return E.find_entities(t.spread("documents").select(F.concat(F.lit("doc"), "doc_id").alias("u"), "text"), "text", "u").select("id", "value", "confidence")
 
 
 @query("htm_17_css_entities", """

@@ -143,7 +143,7 @@ e AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN d USING (gram) GROU
 
 
 def evidence(t: Inputs):
-    return V.claim_evidence(t.benchmark, t.documents.select("doc_id", "text"), "item_id", "doc_id")
+    return V.claim_evidence(t.benchmark, t.spread("documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query("prv_10_claim_evidence", f"WITH {EVID} SELECT item_id, doc_id, shared, len(g)::INT AS total, round(shared / len(g), 6) AS containment FROM e JOIN c USING (item_id)")

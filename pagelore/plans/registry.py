@@ -15,6 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+SPLIT_BYTES = 64 << 20
+
+
 class Inputs:
     """Lazy access to the input tables: t.pages, t.documents, ..."""
 
@@ -25,6 +28,17 @@ class Inputs:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str) -> DataFrame:
+        """The table for work that is heavy per row (parsing, tokens, chunks).
+
+        A table of few bytes comes as one or two splits and would keep one core busy, so it is dealt out
+        over all cores. A table with at least a full split per core is read as it is, without a shuffle.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(cores * 2, df.columns[0]) if size < cores * SPLIT_BYTES else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(self.path(name))

@@ -38,7 +38,7 @@ hits AS (SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_nu
 
 
 def corpus_postings(t: Inputs):
-    return table_once(t.spark, t.folder, "postings", lambda: R.postings(t.documents, ["doc_id"], R.query_tokens(F.col("text"))))
+    return table_once(t.spark, t.folder, "postings", lambda: R.postings(t.spread("documents"), ["doc_id"], R.query_tokens(F.col("text"))))
 
 
 def bench_terms(t: Inputs):
@@ -53,7 +53,7 @@ def ranked(t: Inputs, k: int):
 @query("ret_06_bm25_corpus", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank::INT AS rank, sha256(text) AS content_sha256 FROM hits JOIN documents USING (doc_id) WHERE rank <= 10")
 def bm25_corpus(t: Inputs):
     """Flagship: BM25 of every benchmark text against all documents, ten best with their content hash."""
-    return ranked(t, 10).join(t.documents.select("doc_id", F.sha2("text", 256).alias("content_sha256")), "doc_id").select("item_id", "doc_id", "score", "rank", "content_sha256")
+    return ranked(t, 10).join(t.spread("documents").select("doc_id", F.sha2("text", 256).alias("content_sha256")), "doc_id").select("item_id", "doc_id", "score", "rank", "content_sha256")
 
 
 INSIDE_SQL = f"""q AS (SELECT doc_id, b.text AS query FROM documents d JOIN benchmark b ON b.item_id = CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT)),
@@ -69,7 +69,7 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s
 
 def lines_with_query(t: Inputs):
     q = t.benchmark.select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
-    d = t.documents.withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
+    d = t.spread("documents").withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines, d.select("doc_id", F.explode(R.query_tokens(F.col("query"))).alias("tok"))
 
@@ -114,7 +114,7 @@ DOCHITS = f"SELECT doc_id, 'https://www.' || {list(SITES)}[(doc_id % 12 + 1)::IN
 
 def doc_hits(t: Inputs):
     site = F.element_at(F.array(*[F.lit(s) for s in SITES]), (F.col("doc_id") % 12 + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(F.lit("https://www."), site, F.lit("/"), "source", F.lit("/"), "lang").alias("url"),
+    return t.spread("documents").select("doc_id", F.concat(F.lit("https://www."), site, F.lit("/"), "source", F.lit("/"), "lang").alias("url"),
                               F.substring_index("text", ".", 1).alias("title"), F.col("text").alias("body"))
 
 
@@ -185,7 +185,7 @@ dd AS (SELECT doc_id, source, text, {TITLE_D} AS title, n_chars, len(list_filter
 
 def research_scored(t: Inputs, h):
     q = t.benchmark.select("item_id", F.col("text").alias("query"))
-    d = t.documents.select("doc_id", "source", "text", "n_chars", F.substring_index("text", ".", 1).alias("title"))
+    d = t.spread("documents").select("doc_id", "source", "text", "n_chars", F.substring_index("text", ".", 1).alias("title"))
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     s = h.join(q, "item_id").join(d, "doc_id")
     return s.withColumn("relevance", F.round(Q.research_relevance(F.col("query"), F.regexp_replace("title", r"\s+", " "), F.col("text"), F.least("n_chars", F.lit(5000)) / 5000, n), 6))
@@ -220,7 +220,7 @@ def expanded_research(t: Inputs):
 WITH {BM25_SQL} SELECT item_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: doc' || doc_id || chr(10) || 'Content: ' || substr(text, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5
 FROM hits JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1""")
 def search_context(t: Inputs):
-    d = ranked(t, 5).join(t.documents.select("doc_id", "source", "text"), "doc_id")
+    d = ranked(t, 5).join(t.spread("documents").select("doc_id", "source", "text"), "doc_id")
     return P.context(d, ["item_id"], F.col("rank"), F.col("source"), F.concat(F.lit("doc"), "doc_id"), F.col("text")).select("item_id", F.md5("context").alias("context_md5"))
 
 
@@ -242,7 +242,7 @@ WITH {BM25_SQL}, r AS (SELECT item_id, doc_id, round(score / (1 + n_chars / 1000
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, doc_id)::INT AS rank FROM r) WHERE rank <= 5""")
 def rerank(t: Inputs):
     """Supplied scores (here a length-damped one) reorder the hits and number them anew."""
-    h = ranked(t, 20).drop("rank").join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    h = ranked(t, 20).drop("rank").join(t.spread("documents").select("doc_id", "n_chars"), "doc_id")
     return R.rerank(h, "item_id", F.round(F.col("score") / (1 + F.col("n_chars") / 1000.0), 6), "doc_id", 5).select("item_id", "doc_id", "rerank_score", "rank")
 
 
@@ -250,7 +250,7 @@ def rerank(t: Inputs):
 WITH {BM25_SQL}, pp AS (SELECT item_id, rank, count(*) OVER (PARTITION BY item_id) AS n, chr(10) || rank || '. ' || source || ': ' || substr(text, 1, 200) || '...' AS s FROM hits JOIN documents USING (doc_id) WHERE rank <= 5)
 SELECT item_id, md5('Based on ' || any_value(n) || ' sources found for ''' || any_value(b.text) || ''': ' || string_agg(s, ' ' ORDER BY rank)) AS answer_md5 FROM pp JOIN benchmark b USING (item_id) WHERE rank <= 3 GROUP BY 1""")
 def fallback_answer(t: Inputs):
-    h = ranked(t, 5).join(t.documents.select("doc_id", "source", "text"), "doc_id")
+    h = ranked(t, 5).join(t.spread("documents").select("doc_id", "source", "text"), "doc_id")
     line = F.concat(F.lit("\n"), F.col("rank").cast("string"), F.lit(". "), "source", F.lit(": "), F.substring("text", 1, 200), F.lit("..."))
     g = h.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))).alias("l"))
     a = F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" sources found for '"), "text", F.lit("': "), F.array_join(F.transform(F.slice("l", 1, 3), lambda x: x["s"]), " "))
@@ -271,7 +271,7 @@ s AS (SELECT doc_id, i, round(len(list_intersect(qt, list_distinct({toks_sql('li
 def overlap_filter(t: Inputs):
     """Lines whose share of the query words reaches the threshold (0.1 here; the default is 0.7)."""
     q = t.benchmark.select(F.col("item_id").alias("_q"), F.array_distinct(R.query_tokens(F.col("text"))).alias("qt"))
-    d = t.documents.withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
+    d = t.spread("documents").withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
     l = d.select("doc_id", "qt", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     share = F.size(F.array_intersect("qt", R.query_tokens(F.col("line")))) / F.greatest(F.size("qt"), F.lit(1))
     return l.select("doc_id", "i", F.round(share, 6).alias("share")).where("share >= 0.1")

@@ -23,14 +23,14 @@ ENT = "replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&amp;'
 @query("sca_01_sanitize", f"""
 SELECT 'doc' AS kind, doc_id AS id, md5({SAN.format('text')}) AS clean_md5 FROM documents UNION ALL SELECT 'page', page_id, md5({SAN.format(ENT)}) FROM pages""")
 def sanitize(t: Inputs):
-    return t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.md5(X.sanitize(F.col("text"))).alias("clean_md5")).unionByName(
+    return t.spread("documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.md5(X.sanitize(F.col("text"))).alias("clean_md5")).unionByName(
         t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.md5(X.sanitize(F.col("html"), full_entities=True)).alias("clean_md5")))
 
 
 @query("sca_02_clean_text", f"""
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower({SAN.format('text')}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '{WS}', ' ', 'g'))) AS clean_md5 FROM documents""")
 def clean_text(t: Inputs):
-    return t.documents.select("doc_id", F.md5(X.clean(F.col("text"), True, True)).alias("clean_md5"))
+    return t.spread("documents").select("doc_id", F.md5(X.clean(F.col("text"), True, True)).alias("clean_md5"))
 
 
 STOP = {k: "[" + ",".join(f"'{w}'" for w in v) + "]" for k, v in X.STOP_WORDS.items()}
@@ -41,7 +41,7 @@ WITH w AS (SELECT doc_id, list_filter(list_transform(string_split({SAN.format('t
 SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS tokens_md5 FROM w""")
 def clean_tokens(t: Inputs):
     w = X.clean_tokens(X.words(X.sanitize(F.col("text"))))
-    return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("tokens_md5"))
+    return t.spread("documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("tokens_md5"))
 
 
 @query("sca_04_entities", r"""
@@ -51,7 +51,7 @@ SELECT doc_id, array_to_string(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-
     || regexp_extract_all(text, '(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}'), '|') AS dates,
   array_to_string(regexp_extract_all(text, '[\$€£¥]\s*\d+(?:,\d{3})*(?:\.\d{2})?'), '|') AS currencies FROM documents""")
 def entities(t: Inputs):
-    d = t.documents.select("doc_id", X.entities(F.col("text")).alias("e"))
+    d = t.spread("documents").select("doc_id", X.entities(F.col("text")).alias("e"))
     return d.select("doc_id", *[F.array_join(F.col("e")[k], "|").alias(n) for k, n in (
         ("emails", "emails"), ("phone_numbers", "phones"), ("dates", "dates"), ("currencies", "currencies"))])
 
@@ -60,7 +60,7 @@ def entities(t: Inputs):
 def snippet(t: Inputs):
     """Snippet of each document for the words of its source's benchmark text; checked against a restatement in the tests."""
     q = t.benchmark.select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
-    d = t.documents.withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long"))
+    d = t.spread("documents").withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long"))
     return d.join(q, "_q").select("doc_id", X.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
@@ -73,13 +73,13 @@ b AS (SELECT *, list_max([{rows}]) AS b FROM w) SELECT doc_id, CASE WHEN l >= 20
 
 @query("sca_06_language", _lang_sql())
 def language(t: Inputs):
-    return t.documents.select("doc_id", X.language_of(F.col("text")).alias("detected"))
+    return t.spread("documents").select("doc_id", X.language_of(F.col("text")).alias("detected"))
 
 
 @query("sca_07_quality")
 def quality(t: Inputs):
     """Text quality; the sentence boundary needs look-behind, so a plain restatement checks it in the tests."""
-    return t.documents.select("doc_id", F.round(X.quality_score(F.col("text")), 6).alias("quality"))
+    return t.spread("documents").select("doc_id", F.round(X.quality_score(F.col("text")), 6).alias("quality"))
 
 
 @query("sca_08_keywords", f"""
@@ -87,7 +87,7 @@ WITH t AS (SELECT doc_id, lang, generate_subscripts(regexp_extract_all(lower(tex
 c AS (SELECT doc_id, w, count(*) AS n, min(i) AS p FROM t WHERE length(w) > 3 AND NOT list_contains({STOP['en']}, w) GROUP BY ALL)
 SELECT doc_id, string_agg(w, ' ' ORDER BY n DESC, p) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rn FROM c) WHERE rn <= 10 GROUP BY 1""")
 def keywords(t: Inputs):
-    tok = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("p", "w"))
+    tok = t.spread("documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("p", "w"))
     tok = tok.where((F.length("w") > 3) & ~F.col("w").isin(X.STOP_WORDS["en"]))
     c = tok.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))
     top = top_per_key(c, ["doc_id"], [F.col("n").desc(), F.col("p")], 10)
@@ -98,7 +98,7 @@ def keywords(t: Inputs):
 WITH h AS (SELECT doc_id, text, substr(text, 1, 77) AS h FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN instr(reverse(h), ' ') = 0 THEN h || '...' ELSE substr(h, 1, 77 - instr(reverse(h), ' ')) || '...' END AS short FROM h""")
 def truncate(t: Inputs):
-    return t.documents.select("doc_id", X.truncate_words(F.col("text"), 80).alias("short"))
+    return t.spread("documents").select("doc_id", X.truncate_words(F.col("text"), 80).alias("short"))
 
 
 @query("sca_10_normalize_url", """
@@ -149,7 +149,7 @@ def hierarchy(t: Inputs):
 @query("sca_15_digests", """
 SELECT doc_id, sha256(text) AS sha, substr(md5(text), 1, 12) AS id12, substr(md5(lang || ':' || source), 1, 16) AS id16, sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS fields_sha FROM documents""")
 def digests(t: Inputs):
-    return t.documents.select("doc_id", D.sha256_hex(F.col("text")).alias("sha"), D.short_md5(F.col("text"), 12).alias("id12"),
+    return t.spread("documents").select("doc_id", D.sha256_hex(F.col("text")).alias("sha"), D.short_md5(F.col("text"), 12).alias("id12"),
                               D.short_md5(F.concat_ws(":", "lang", "source"), 16).alias("id16"),
                               D.sha256_hex(D.sorted_json(source=F.col("source"), lang=F.col("lang"))).alias("fields_sha"))
 
@@ -159,7 +159,7 @@ WITH q AS (SELECT doc_id, lower(trim(source || ' ' || lang || ' Query')) AS q FR
 SELECT doc_id, 'search:' || regexp_replace(substr(q, 1, 20), '[^a-z0-9]+', '-', 'g') || ':' || substr(sha256('{"engines":["bing","google"],"language":"en","max_results":10,"query":"' || q || '"}'), 1, 16) AS cache_key FROM q""")
 def cache_keys(t: Inputs):
     q = F.concat_ws(" ", "source", "lang", F.lit("Query "))
-    return t.documents.select("doc_id", D.search_cache_key(q, F.array(F.lit("google"), F.lit("bing")), F.lit("en"), F.lit(10)).alias("cache_key"))
+    return t.spread("documents").select("doc_id", D.search_cache_key(q, F.array(F.lit("google"), F.lit("bing")), F.lit("en"), F.lit(10)).alias("cache_key"))
 
 
 @query("sca_17_hmac")
@@ -167,7 +167,7 @@ def hmac(t: Inputs):
     """Signature and verification of every document; the tests compare with Python's hmac."""
     key = F.concat(F.lit("secret-"), "source", F.repeat(F.lit("k"), F.col("doc_id").cast("int") % 90))
     s = D.hmac_sha256_hex(F.col("text"), key)
-    d = t.documents.select("doc_id", "text", key.alias("key"), s.alias("signature"))
+    d = t.spread("documents").select("doc_id", "text", key.alias("key"), s.alias("signature"))
     return d.select("doc_id", "signature", D.signature_ok(F.col("text"), F.col("key"), F.concat(F.lit("sha256="), "signature")).alias("valid"),
                     D.signature_ok(F.concat("text", F.lit("!")), F.col("key"), F.col("signature")).alias("tampered_valid"))
 
@@ -234,7 +234,7 @@ c AS (SELECT source, string_agg('[Source ' || rk || ']' || chr(10) || 'Title: '
 SELECT source, length(c) AS n, md5(c) AS context_md5 FROM c""")
 def context(t: Inputs):
     """Context of the five best documents of each source."""
-    d = t.documents.select("source", "doc_id", "text", "n_chars")
+    d = t.spread("documents").select("source", "doc_id", "text", "n_chars")
     top = top_per_key(d, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 5)
     c = P.context(top, ["source"], F.col("rank"), F.col("source"), F.concat(F.lit("https://example.org/"), "doc_id"), F.col("text"))
     return c.select("source", F.length("context").cast("long").alias("n"), F.md5("context").alias("context_md5"))

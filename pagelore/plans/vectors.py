@@ -53,7 +53,7 @@ def similar_items(t: Inputs):
 def neural_rerank(t: Inputs):
     """BM25 candidates, twice the wanted number, reordered by cosine of encoded texts."""
     q = t.benchmark.select("item_id", hashing_encoder(F.col("text")).alias("qv"))
-    d = t.documents.select("doc_id", hashing_encoder(F.col("text")).alias("dv"))
+    d = t.spread("documents").select("doc_id", hashing_encoder(F.col("text")).alias("dv"))
     h = ranked(t, 20).drop("rank").join(q, "item_id").join(d, "doc_id").withColumn("similarity", F.round(V.cosine(F.col("qv"), F.col("dv")), 5))
     return top_per_key(h.select("item_id", "doc_id", "similarity"), ["item_id"], [F.col("similarity").desc(), F.col("doc_id")], 10)
 
@@ -62,8 +62,8 @@ def neural_rerank(t: Inputs):
 WITH d AS (SELECT doc_id, md5(text) AS content_md5, lang FROM documents), c AS (SELECT DISTINCT content_md5 FROM d WHERE lang = 'en')
 SELECT doc_id, content_md5, content_md5 IN (SELECT content_md5 FROM c) AS cached, 64 AS dims FROM d""")
 def embedding_cache(t: Inputs):
-    cache = t.documents.where("lang = 'en'").select(F.md5("text").alias("content_md5"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("embedding")).dropDuplicates(["content_md5"])
-    return V.encode_missing(t.documents.select("doc_id", "text"), cache, "text", hashing_encoder).select("doc_id", "content_md5", "cached", F.size("embedding").alias("dims"))
+    cache = t.spread("documents").where("lang = 'en'").select(F.md5("text").alias("content_md5"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("embedding")).dropDuplicates(["content_md5"])
+    return V.encode_missing(t.spread("documents").select("doc_id", "text"), cache, "text", hashing_encoder).select("doc_id", "content_md5", "cached", F.size("embedding").alias("dims"))
 
 
 @query("vec_06_encode", """
@@ -72,7 +72,7 @@ b AS (SELECT doc_id, ('0x' || substr(m, 1, 8))::BIGINT % 64 AS slot, sum(CASE WH
 SELECT doc_id, slot::INT AS slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4)::DOUBLE AS v FROM b WHERE v <> 0""")
 def encode(t: Inputs):
     """The default encoder, as sparse rows. The tokens are letters and digits."""
-    d = t.documents.select("doc_id", F.posexplode(hashing_encoder(F.col("text"))).alias("slot", "v")).where("v <> 0")
+    d = t.spread("documents").select("doc_id", F.posexplode(hashing_encoder(F.col("text"))).alias("slot", "v")).where("v <> 0")
     return d.select("doc_id", "slot", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 

@@ -61,7 +61,7 @@ g AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1), h AS (SELECT d.source, d.
 def crawl_history(t: Inputs):
     """A source is a crawl; its documents arrive by id. New terms are those the crawl had not seen."""
     from ..functions import text as X
-    tok = t.documents.select("source", "doc_id", F.explode(F.array_distinct(X.index_tokens(F.col("text")))).alias("tok"))
+    tok = t.spread("documents").select("source", "doc_id", F.explode(F.array_distinct(X.index_tokens(F.col("text")))).alias("tok"))
     new = tok.groupBy("source", "tok").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("new_terms"))
     return t.documents.select("source", "doc_id", "n_chars").join(new, "doc_id", "left").fillna(0, ["new_terms"])
 
@@ -152,7 +152,7 @@ def performance_score(t: Inputs):
 def coherence(t: Inputs):
     """Cosine of neighbouring sentence windows per document; checked against a plain restatement in the tests."""
     from ..functions import chunking as C
-    return (t.documents.select("doc_id", F.posexplode(C.coherence(C.sentence_chunks(F.col("text"), 20))).alias("idx", "similarity"))
+    return (t.spread("documents").select("doc_id", F.posexplode(C.coherence(C.sentence_chunks(F.col("text"), 20))).alias("idx", "similarity"))
             .withColumn("similarity", F.round("similarity", 6)))
 
 
