@@ -91,7 +91,10 @@ def squash_dots(p: Column) -> Column:
 
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute URL of a reference: scheme, //, /, ?, # and relative forms, dot segments folded."""
-    ref = F.trim(ref)
+    return F.get(F.transform(F.array(F.trim(ref)), lambda r: _resolve(base, r)), F.lit(0))
+
+
+def _resolve(base: Column, ref: Column) -> Column:
     sch = scheme(base)
     root = F.concat(sch, F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     base_path = path(base)

@@ -284,11 +284,16 @@ def table_rows(t: DataFrame) -> DataFrame:
     rows = let(F.col("anchors"), lambda an: let(F.col("cells"), lambda cs: F.transform(
         body, lambda r: F.flatten(F.transform(within(cs, r), lambda c: cell(c, an))))))
     headers = F.transform(within(F.col("cells"), F.get(head, F.lit(0))), clean_of)
-    out = d.withColumns({"headers": F.coalesce(headers, F.array().cast("array<string>")), "rows": F.filter(rows, lambda r: F.size(r) > 0),
+
+    def checked(rs):
+        chars = F.aggregate(F.flatten(rs), F.lit(0), lambda a, c: a + F.length(c["text"]))
+        valid = (F.size(rs) >= 2) & (F.array_max(F.transform(rs, lambda r: F.size(r))) >= 2) & (chars >= 10)
+        return F.struct(rs.alias("rows"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+    # rows and their check come from one expression, so a filter on the check does not repeat the extraction
+    out = d.withColumns({"headers": F.coalesce(headers, F.array().cast("array<string>")), "_t": let(F.filter(rows, lambda r: F.size(r) > 0), checked),
                          "caption": clean_of(dom.first(sub, "caption"))})
-    chars = F.aggregate(F.flatten("rows"), F.lit(0), lambda a, c: a + F.length(c["text"]))
-    valid = (F.size("rows") >= 2) & (F.array_max(F.transform("rows", lambda r: F.size(r))) >= 2) & (chars >= 10)
-    return out.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("trs", "cells", "anchors", "thead", "tbody", "head1")
+    return out.withColumns({"rows": F.col("_t.rows"), "valid": F.col("_t.valid")}).drop("trs", "cells", "anchors", "thead", "tbody", "head1", "_t")
 
 
 def table_markdown(headers: Column, rows: Column) -> Column:

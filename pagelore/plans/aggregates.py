@@ -132,13 +132,13 @@ def usage_upsert(t: Inputs):
 
 @query("agg_11_usage_report", """
 WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL)
-SELECT d.user_id, sum(n)::BIGINT AS used, any_value(c_acctbal::BIGINT) AS usage_limit, greatest(any_value(c_acctbal::BIGINT) - sum(n), 0)::BIGINT AS remaining, any_value(c_acctbal < 0) AS unlimited,
+SELECT d.user_id, sum(n)::BIGINT AS used, any_value(floor(c_acctbal)::BIGINT) AS usage_limit, greatest(any_value(floor(c_acctbal)::BIGINT) - sum(n), 0)::BIGINT AS remaining, any_value(c_acctbal < 0) AS unlimited,
   coalesce(sum(n) FILTER (day = '2024-01-15'), 0)::BIGINT AS today, string_agg(day || ':' || n, ' ' ORDER BY day) AS series FROM d JOIN customer ON user_id = c_custkey GROUP BY 1""")
 def usage_report(t: Inputs):
     d = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     per = d.groupBy("user_id").agg(F.sum("n").alias("used"), F.coalesce(F.sum(F.when(F.col("day") == "2024-01-15", F.col("n"))), F.lit(0)).alias("today"),
                                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "n"))), lambda x: F.concat(x["day"], F.lit(":"), x["n"])), " ").alias("series"))
-    lim = t.customer.select(F.col("c_custkey").alias("user_id"), F.round("c_acctbal").cast("long").alias("usage_limit"), (F.col("c_acctbal") < 0).alias("unlimited"))
+    lim = t.customer.select(F.col("c_custkey").alias("user_id"), F.floor("c_acctbal").alias("usage_limit"), (F.col("c_acctbal") < 0).alias("unlimited"))
     return per.join(lim, "user_id").select("user_id", "used", "usage_limit", F.greatest(F.col("usage_limit") - F.col("used"), F.lit(0)).alias("remaining"), "unlimited", "today", "series")
 
 
@@ -161,13 +161,13 @@ def address_quota(t: Inputs):
 @query("agg_14_crawl_monitor", f"""
 WITH s AS (SELECT user_id, event_type <> 'error' AS ok, value AS ms, {K} AS bytes, epoch(date_trunc('second', ts))::BIGINT AS sec FROM events),
 q AS (SELECT user_id, sec, count(*) AS n FROM s GROUP BY ALL)
-SELECT user_id, count(*) AS total, round(count(*) FILTER (ok) / count(*) * 100, 6) AS success_rate, min(ms) AS min_ms, max(ms) AS max_ms, round(avg(ms), 6) AS avg_ms, sum(bytes)::BIGINT AS bytes,
+SELECT user_id, count(*) AS total, round(count(*) FILTER (ok) / count(*) * 100, 6) AS success_rate, min(ms) AS min_ms, max(ms) AS max_ms, round(avg(ms) + 1e-9, 6) AS avg_ms, sum(bytes)::BIGINT AS bytes,
   (SELECT max(n) FROM q WHERE q.user_id = s.user_id) AS peak_per_sec, round(count(*) / (max(sec) - min(sec) + 1), 6) AS throughput FROM s GROUP BY user_id""")
 def crawl_monitor(t: Inputs):
     s = t.events.select("user_id", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms"), k_of().alias("bytes"),
                         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"))
     m = A.monitor_summary(s, "user_id")
-    return m.select("user_id", "total", F.round("success_rate", 6).alias("success_rate"), "min_ms", "max_ms", F.round("avg_ms", 6).alias("avg_ms"), "bytes",
+    return m.select("user_id", "total", F.round("success_rate", 6).alias("success_rate"), "min_ms", "max_ms", F.round(F.col("avg_ms") + 1e-9, 6).alias("avg_ms"), "bytes",
                     "peak_per_sec", F.round("throughput", 6).alias("throughput"))
 
 

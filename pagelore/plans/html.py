@@ -14,7 +14,7 @@ from ..session import table_once
 from .registry import Inputs, query
 from .scalars import WS
 
-ENT = "replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+ENT = "replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 SQUEEZE = "trim(regexp_replace({}, '" + WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
 
 
@@ -65,7 +65,7 @@ def order_pages(t: Inputs):
 
 
 def order_tables(t: Inputs):
-    return P.tables(table_once(t.spark, t.folder, "parsed_orders", lambda: dom.parse_pages(order_pages(t))))
+    return P.tables(table_once(t.spark, t.folder, "parsed_orders", lambda: dom.parse_pages(order_pages(t).repartition(t.spark.sparkContext.defaultParallelism * 2, "page_id"))))
 
 
 @query("htm_00_nodes", """

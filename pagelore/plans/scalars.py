@@ -17,7 +17,7 @@ from .registry import Inputs, query
 WS = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+"
 SAN = ("trim(regexp_replace(regexp_replace(regexp_replace({}, '<[^>]+>', '', 'g'), '[\\x{{00}}-\\x{{08}}\\x{{0B}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]|\\p{{Cf}}|\\p{{Co}}', '', 'g'), "
        "'" + WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))")
-ENT = "replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+ENT = "replace(replace(replace(replace(html, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 @query("sca_01_sanitize", f"""
