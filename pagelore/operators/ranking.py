@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_tokens
-from .skew import spread_join, top_per_key
+from .skew import previous_row, spread_join, top_per_key
 
 # Okapi parameters; a negative idf becomes eps times the mean idf.
 K1, BM_B, EPS = 1.5, 0.75, 0.25
@@ -75,11 +75,11 @@ def rerank(hits: DataFrame, query: str, score: Column, tie: str, k: int) -> Data
     return top_per_key(hits.withColumn("rerank_score", score), [query], [F.col("rerank_score").desc(), F.col(tie)], k)
 
 
-def next_queries(log: DataFrame, session: str, order: str, query: str, k: int = 5) -> DataFrame:
-    """Successors of a query over all sessions: share of its followers, best k."""
-    w = Window.partitionBy(session).orderBy(order)
-    pairs = log.withColumn("next_query", F.lead(query).over(w)).where("next_query IS NOT NULL")
-    n = pairs.groupBy(query, "next_query").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy(query).agg(F.sum("n").alias("total"))
-    top = top_per_key(n, [query], [F.col("n").desc(), F.col("next_query")], k)
-    return top.join(total, query).withColumn("confidence", F.col("n") / F.col("total"))
+def next_queries(log: DataFrame, session: str, order: str, query: str, slice_col: Column, k: int = 5) -> DataFrame:
+    """Successors of a query over all sessions: share of its followers, best k. Long sessions are cut into slices."""
+    pairs = previous_row(log.select(session, order, query), [session], slice_col, [F.col(order)], [query])
+    n = (pairs.where(F.col(f"prev_{query}").isNotNull())
+         .groupBy(F.col(f"prev_{query}").alias("query"), F.col(query).alias("next_query")).agg(F.count(F.lit(1)).alias("n")))
+    total = n.groupBy("query").agg(F.sum("n").alias("total"))
+    top = top_per_key(n, ["query"], [F.col("n").desc(), F.col("next_query")], k)
+    return top.join(total, "query").withColumn("confidence", F.col("n") / F.col("total"))

@@ -110,6 +110,7 @@ def similar_pairs(corpus: DataFrame, threshold: float, n_pivots: int = 16, block
 
     placed = base.select(F.col("id").cast("long"), "embedding").mapInArrow(place, "id long, cell int, home boolean, v array<double>")
     size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
+    # one row per pivot: the bound of this broadcast is n_pivots
     p = placed.join(F.broadcast(size), "cell").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     left = p.where("home").select("cell", F.col("_b").alias("bi"), every.alias("bj"), "id", "v", F.lit(True).alias("left"))

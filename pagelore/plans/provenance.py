@@ -95,14 +95,14 @@ def versions(t: Inputs):
 SELECT page_id, v AS version, CASE WHEN v = 1 THEN 'NEW' WHEN v = 2 AND page_id % 5 = 0 THEN 'CHANGED' WHEN v = 3 AND page_id % 9 = 0 THEN 'CHANGED' ELSE 'SAME' END AS status,
   v = 3 AND page_id % 9 = 0 AS title_changed FROM pages, (SELECT unnest([1, 2, 3]) AS v)""")
 def change_detection(t: Inputs):
-    c = V.track_changes(versions(t), ["page_id"], F.col("version"), F.lit(0))
+    c = V.track_changes(versions(t), ["page_id"], F.col("version"), F.floor(F.col("version") / 1000))
     return c.select("page_id", "version", "status", F.array_contains("significant", "title_changed").alias("title_changed"))
 
 
 @query("prv_07_changed_percent")
 def changed_percent(t: Inputs):
     """Percent and significant changes of the changed versions (difflib ratio; fixture tests)."""
-    c = V.track_changes(versions(t), ["page_id"], F.col("version"), F.lit(0)).where("status = 'CHANGED'")
+    c = V.track_changes(versions(t), ["page_id"], F.col("version"), F.floor(F.col("version") / 1000)).where("status = 'CHANGED'")
     return c.select("page_id", "version", F.round("changed_percent", 4).alias("changed_percent"), F.array_join("significant", ",").alias("significant"), "notify")
 
 

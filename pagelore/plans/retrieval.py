@@ -282,11 +282,8 @@ WITH p AS (SELECT event_type AS query, lead(event_type) OVER (PARTITION BY user_
 r AS (SELECT *, sum(n) OVER (PARTITION BY query) AS total, row_number() OVER (PARTITION BY query ORDER BY n DESC, next_query) AS rank FROM n) SELECT query, next_query, n, round(n / total, 6) AS confidence, rank::INT AS rank FROM r WHERE rank <= 5""")
 def next_query(t: Inputs):
     """Event types as queries, users as sessions; hot users are cut by id ranges for the successor."""
-    from ..operators.skew import previous_row
-    pairs = previous_row(t.events.select("user_id", "event_id", "event_type"), ["user_id"], F.floor(F.col("event_id") / 1_000_000), [F.col("event_id")], ["event_type"])
-    n = pairs.where("prev_event_type IS NOT NULL").groupBy(F.col("prev_event_type").alias("query"), F.col("event_type").alias("next_query")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy("query").agg(F.sum("n").alias("total"))
-    return top_per_key(n, ["query"], [F.col("n").desc(), F.col("next_query")], 5).join(total, "query").select("query", "next_query", "n", F.round(F.col("n") / F.col("total"), 6).alias("confidence"), "rank")
+    n = R.next_queries(t.events, "user_id", "event_id", "event_type", F.floor(F.col("event_id") / 1_000_000))
+    return n.select("query", "next_query", "n", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 @query("ret_16_batch_search", f"""

@@ -8,9 +8,11 @@ are sequential by nature; different keys run in parallel, and the trigger size b
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -38,6 +40,8 @@ class KeyedFold(StatefulProcessor):
 def fold(stream: DataFrame, key: str, step: Callable, order: list[str], schema: str, ttl_ms: int | None = None) -> DataFrame:
     """Stateful fold of a stream per key; `step(state, row)` changes the state and returns output tuples."""
     use_rocksdb(stream.sparkSession)
+    # the processor is also loaded outside the executors, where shipped files are not on the path
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     names = [p.strip().split(" ")[0] for p in schema.split(",")]
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=KeyedFold(step, order, names, ttl_ms), outputStructType=schema, outputMode="Append",
