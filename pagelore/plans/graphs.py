@@ -15,6 +15,7 @@ from ..operators import vectors as V
 from . import derived
 from .aggregates import LINK_SQL, page_links
 from .derived import EDGE_SQL, ENTITY_SQL
+from .html import MAIN_SQL
 from .registry import Inputs, query
 from .windows import SCORES_SQL, scored_links
 
@@ -166,8 +167,7 @@ def block_clusters(t: Inputs):
 
 
 @query("htm_24_enhanced_record", f"""
-WITH {SCORES_SQL}, r AS (SELECT page_id, string_agg(link, ' ' ORDER BY o DESC, pos) AS top_links, count(*) AS n FROM (SELECT *, round(overall, 6) AS o, row_number() OVER (PARTITION BY page_id ORDER BY round(overall, 6) DESC, pos) AS rk FROM scored) WHERE rk <= 20 GROUP BY 1)
-SELECT page_id, n AS n_top_links, md5(top_links) AS links_md5 FROM r""")
+WITH {SCORES_SQL}, r AS (SELECT page_id, string_agg(link, ' ' ORDER BY o DESC, pos) AS top_links, count(*) AS n FROM (SELECT *, round(overall, 6) AS o, row_number() OVER (PARTITION BY page_id ORDER BY round(overall, 6) DESC, pos) AS rk FROM scored) WHERE rk <= 20 GROUP BY 1), {MAIN_SQL} SELECT page_id, title, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END::INT AS word_count, n AS n_top_links, md5(top_links) AS links_md5, true AS has_markdown FROM r JOIN main USING (page_id)""")
 def enhanced_record(t: Inputs):
     """Page record with pruned blocks, Markdown and the best twenty links, joined by page."""
     from ..functions import dom, markdown as M
@@ -178,4 +178,4 @@ def enhanced_record(t: Inputs):
     kept = P.prune(P.blocks(d)).where("keep").groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"))
     top = top_per_key(scored_links(t).select("page_id", "link", "overall", "pos"), ["page_id"], [F.col("overall").desc(), F.col("pos")], 20)
     links = top.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_top_links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "link"))), lambda x: x["link"]), " ").alias("links"))
-    return rec.join(md, "page_id").join(kept, "page_id", "left").join(links, "page_id").select("page_id", "n_top_links", F.md5("links").alias("links_md5"))
+    return rec.join(md, "page_id").join(kept, "page_id", "left").join(links, "page_id").select("page_id", "title", "word_count", "n_top_links", F.md5("links").alias("links_md5"), (F.length("markdown") > 0).alias("has_markdown"))
