@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from pagelore.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = list(entry.queries()) if os.environ.get("FULL_ORACLES") else [
-    n for n in entry.queries() if n.split("_")[1] in ("01", "06", "10", "12")]
+LIBRARY = catalogue.queries()
+NAMES = list(LIBRARY) if os.environ.get("FULL_ORACLES") else [n for n in LIBRARY if n.split("_")[1] in ("01", "06", "10", "12")]
 
 
 @pytest.fixture(scope="module")
