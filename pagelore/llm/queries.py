@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import token_output
+from . import html_template, mixing, quality_rules, simhash, token_output, warc_archive
 from .registry import query, table
 
 
@@ -16,3 +16,36 @@ def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
     to = scratch_path(spark, "tokens")
     token_output.write_tokens(table(spark, folder, "documents"), to, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.token_digests(spark, to)
+
+
+@query("op2_quality_rules", quality_rules.SQL)
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, ratios and verdict of the threshold table for every document."""
+    j = quality_rules.judge(table(spark, folder, "documents"))
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_mixing", mixing.SQL)
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mix takes every document, and what that makes in words."""
+    return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_template.main_text(table(spark, folder, "pages"))
+
+
+@query("op9_warc_archive", warc_archive.SQL)
+def op9_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived, and what the records say when the archive is read back."""
+    to = scratch_path(spark, "warc")
+    warc_archive.write_archive(table(spark, folder, "pages"), to)
+    return warc_archive.read_index(spark, to)
