@@ -39,41 +39,74 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Ids of a text by the tokenizer, piece by piece.
+    """Ids of texts by the tokenizer, piece by piece.
 
     A blank between two other characters always opens a new pre-token of a byte-level BPE, so a text may be cut
-    there and each distinct piece encoded once. Pieces are kept for the texts that follow, `room` at most.
+    there and each distinct piece encoded once: all new pieces of some texts go through the tokenizer as one text,
+    whose ids are cut where a token opens with a blank. Pieces are kept for the texts that follow, `room` at most.
     Texts that hold the string of an added token are encoded whole.
     """
 
-    def __init__(self, vocabulary: str, room: int = 300_000):
+    def __init__(self, vocabulary: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.room, self.known = room, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
 
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self._ids([text])[0]
-        head, *pieces = text.split(" ")
+    def _learn(self, new: list[str]) -> None:
+        ids = self._ids(" " + " ".join(new))
+        at = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
+        data = ids.tobytes()
+        if len(at) != len(new):
+            raise ValueError("the vocabulary does not open a token at each blank")
+        self.known.update(zip(new, [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.room:
             known.clear()
-        new = set(pieces).difference(known)
-        if not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-            head, *pieces = _BETWEEN.split(text)
-            new = set(pieces).difference(known)
+        cuts: list[list[str] | None] = []
+        new: set[str] = set()
+        for text in texts:
+            if any(a in text for a in self.added):
+                cuts.append(None)
+                continue
+            pieces = text.split(" ")
+            mine = set(pieces[1:]).difference(known)
+            if not pieces[0] or pieces[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in mine):
+                pieces = _BETWEEN.split(text)
+                mine = set(pieces[1:]).difference(known)
+            new |= mine
+            cuts.append(pieces)
         if new:
-            new = list(new)
-            known.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        return (self._ids([head])[0] if head else b"") + b"".join([known[p] for p in pieces])
+            self._learn(list(new))
+        out = []
+        for text, pieces in zip(texts, cuts, strict=True):
+            if pieces is None:
+                out.append(self._ids(text).tobytes())
+            else:
+                head = self._ids(pieces[0]).tobytes() if pieces[0] else b""
+                out.append(head + b"".join(map(known.__getitem__, pieces[1:])))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker, kept for its next tasks."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _file_bytes(width: int, doc_ids: list[int], n_null: int, ends: list[int], ids: list[bytes]) -> bytes:
@@ -100,10 +133,15 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder(vocabulary)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, _encoder(vocabulary)
         end = int(end_id).to_bytes(encoder.width, "little")
         doc_ids, n_null, ends, ids, total = [], 0, [], [], 0
 
+        def encoded(b):
+            for k in range(0, b.num_rows, 64):
+                some = b.slice(k, 64)
+                yield from zip(some.column(0).to_pylist(), (x + end for x in encoder.encode(some.column(1).to_pylist())), strict=True)
+
         def close():
             name = f"{part:06d}-{seq:05d}.ids"
             _put(f"{folder}/files", name, _file_bytes(encoder.width, doc_ids, n_null, ends, ids))
@@ -112,9 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
                 "n_docs": pa.array([len(ends)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
         for b in batches:
-            for k in range(b.num_rows):
-                doc = b.column(0)[k].as_py()
-                data = encoder.encode(b.column(1)[k].as_py()) + end
+            for doc, data in encoded(b):
                 ids.append(data)
                 total += len(data) // encoder.width
                 ends.append(total)
