@@ -63,6 +63,10 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
 
     def _learn(self, new: list[str]) -> None:
+        self.known.update((p, self._ids(" " + p).tobytes()) for p in new if " " in p)
+        new = [p for p in new if " " not in p]
+        if not new:
+            return
         ids = self._ids(" " + " ".join(new))
         at = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
         data = ids.tobytes()
@@ -222,8 +226,9 @@ def _read(spark: SparkSession, folder: str, schema: str, make) -> DataFrame:
                 shard = Shard(_get(f"{folder}/files", r["file"]))
                 yield from make(r["start"], shard)
 
-    # a row is a whole file: each goes to a task of its own as far as there are tasks
-    return files.repartition(F.col("file")).mapInArrow(run, schema)
+    # a row stands for a whole file, so the number of tasks is fixed: by their bytes the rows would all go to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, F.col("file")).mapInArrow(run, schema)
 
 
 def read_tokens(spark: SparkSession, folder: str, batch_docs: int = 256) -> DataFrame:
