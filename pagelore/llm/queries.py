@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import html_template, mixing, quality_rules, simhash, token_output, warc_archive
+from . import decontamination, factorisation, html_template, mixing, pii, quality_rules, simhash, token_output, url_templates, warc_archive
 from .registry import query, table
 
 
@@ -49,3 +50,32 @@ def op9_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     to = scratch_path(spark, "warc")
     warc_archive.write_archive(table(spark, folder, "pages"), to)
     return warc_archive.read_index(spark, to)
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark text, with the place and the number of edits."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_url_filters")
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address; labels come from the document whose number the address ends in."""
+    pages = table(spark, folder, "pages")
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[A-Za-z]+|/)?$", 1)
+    known = pages.select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id")).where("doc_id is not null")
+    quality = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    j = url_templates.judge(pages, known.join(quality, "doc_id").select("url", "label"))
+    return j.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return factorisation.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
