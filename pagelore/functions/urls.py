@@ -24,6 +24,11 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def path_and_query(url: Column) -> Column:
+    """What robots rules are compared with: the path, and the query with its question mark."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+
+
 def query_string(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 

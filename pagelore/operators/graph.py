@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..session import write_and_read
 from .sets import distinct_filled, source_rank, union_all
-from .skew import spread_join, top_per_key
+from .skew import latest_per_key, spread_join, top_per_key
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, keep: Column | None = None) -> DataFrame:
@@ -37,39 +37,41 @@ def first_pages(reached: DataFrame, max_pages: int) -> DataFrame:
     return reached.orderBy("depth", "node").limit(max_pages)
 
 
-def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node name of the connected component, by label spreading with jumps.
 
     A round takes the least label among the neighbours (an aggregate, so hubs combine on the map side)
-    and then replaces each label by its own label; paths halve, so few rounds are needed.
+    and then replaces each label by its own label; paths halve, so few rounds are needed. The loop ends when no
+    label changes, after as many rounds as that takes.
     """
     both = write_and_read(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cc-edges")
     lab = write_and_read(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")), "cc-0")
-    for i in range(1, max_rounds + 1):
+    while True:
         near = (spread_join(both, lab.withColumnsRenamed({"node": "dst", "component": "c"}), ["dst"], salt_by=["src"])
                 .groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c")))
         step = lab.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("mid"))
         jump = lab.select(F.col("node").alias("mid"), F.col("component").alias("up"))
         nxt = write_and_read(spread_join(step, jump, ["mid"], "left", salt_by=["node"]).select(
-            "node", "old", F.least("mid", F.coalesce("up", "mid")).alias("component")), f"cc-{i}")
-        done = nxt.where("component <> old").isEmpty()
+            "node", "old", F.least("mid", F.coalesce("up", "mid")).alias("component")), "cc")
         lab = nxt.select("node", "component")
-        if done:
-            break
-    return lab
+        if nxt.where("component <> old").isEmpty():
+            return lab
 
 
-def best_first(edges: DataFrame, seeds: DataFrame, batch: int = 1, rounds: int = 10, pending_cap: int | None = 100,
-               min_score: float = 0.0) -> DataFrame:
+def best_first(edges: DataFrame, seeds: DataFrame, batch: int = 1, pending_cap: int | None = None, min_score: float = 0.0,
+               max_pages: int | None = None, saturation: float | None = None) -> DataFrame:
     """Crawls by score, many at once: (crawl, node, score, round, pos).
 
     `edges` are (src, dst, score), `seeds` (crawl, node). Every round each crawl visits its best `batch`
-    pending nodes; with batch 1 this is the sequential order, larger batches trade order for rounds. The
-    pending list keeps its best 100 by definition.
+    pending nodes; with batch 1 this is the sequential order, larger batches trade order for rounds. A crawl ends
+    when nothing is pending, when it has visited `max_pages` nodes besides its seeds, or when the best score of a round is below
+    `saturation`; the loop ends with the last crawl. `pending_cap` keeps the best pending nodes alone.
     """
     visited = write_and_read(seeds.select("crawl", "node", F.lit(1.0).alias("score"), F.lit(0).alias("round"), F.lit(1).alias("pos")), "crawl-0")
     fresh, pending = visited, None
-    for r in range(1, rounds + 1):
+    r = 0
+    while True:
+        r += 1
         out = spread_join(edges, fresh.select("crawl", F.col("node").alias("src")), ["src"], salt_by=["dst"]).where(F.col("score") >= min_score)
         found = out.groupBy("crawl", F.col("dst").alias("node")).agg(F.max("score").alias("score"))
         pool = found if pending is None else found.unionByName(pending).groupBy("crawl", "node").agg(F.max("score").alias("score"))
@@ -80,6 +82,11 @@ def best_first(edges: DataFrame, seeds: DataFrame, batch: int = 1, rounds: int =
             "pos", F.row_number().over(Window.partitionBy("crawl").orderBy(*order)))
         ranked = write_and_read(ranked, f"crawl-{r}")
         fresh = ranked.where(F.col("pos") <= batch).withColumn("round", F.lit(r))
+        if max_pages is not None:
+            fresh = fresh.where((r - 1) * batch + F.col("pos") <= max_pages)
+        if saturation is not None:
+            going = ranked.where((F.col("pos") == 1) & (F.col("score") >= saturation)).select("crawl")
+            fresh, ranked = fresh.join(going, "crawl", "left_semi"), ranked.join(going, "crawl", "left_semi")
         if fresh.isEmpty():
             break
         pending = ranked.where(F.col("pos") > batch).select("crawl", "node", "score")
@@ -118,7 +125,7 @@ def fetch_list(df: DataFrame, host: Column, score: Column, tie: str, per_second:
 
 def enriched_links(links: DataFrame, pages: DataFrame, query: str | None, threshold: float | None = None) -> DataFrame:
     """Links scored by the query terms in the target's title and address; a failed target gets 0."""
-    t = pages.select(F.col("url").alias("link"), F.col("title").alias("target_title"), F.col("ok").alias("target_ok")).dropDuplicates(["link"])
+    t = latest_per_key(pages.select(F.col("url").alias("link"), F.col("title").alias("target_title"), F.col("ok").alias("target_ok"), "page_id"), ["link"], [F.col("page_id")]).drop("page_id")
     j = links.join(t, "link", "left")
     terms = [w.lower() for w in (query or "").split() if len(w) > 2]
     txt = F.lower(F.concat_ws(" ", F.coalesce("target_title", F.lit("")), "link"))

@@ -35,14 +35,16 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                spread: int = 16, salt_by: Sequence[str] | None = None) -> DataFrame:
+                spread: int = 16, *, salt_by: Sequence[str]) -> DataFrame:
     """Equi join for a large left side with hot keys and a right side with few rows per key.
 
     Left rows of a key go to `spread` different partitions; the right rows are copied to each.
-    `salt_by` names left columns whose hash picks the copy, so that a rerun task picks the same one.
+    `salt_by` names left columns whose hash picks the copy, so that a rerun task picks the same one; columns of the
+    key alone would send all rows of a key to one copy and are refused.
     """
-    by = [F.col(c) for c in (salt_by or left.columns)]
-    l2 = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
+    if set(salt_by) <= set(on):
+        raise ValueError("the salt needs a column outside of the key")
+    l2 = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(spread)).cast("int"))
     r2 = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return l2.join(r2, [*on, "_salt"], how).drop("_salt")
 
@@ -123,23 +125,12 @@ def previous_row(df: DataFrame, keys: Sequence[str], slice_col: Column, order: S
     return out.drop("_lag", "_carry", "_slice")
 
 
-def collect_in_parts(df: DataFrame, keys: Sequence[str], item: Column, id_col: Column,
-                     name: str = "items", part_rows: int = 1000) -> DataFrame:
-    """Nest child rows under their key in arrays of about `part_rows` items.
+def nested(df: DataFrame, keys: Sequence[str], item: Column, id_col: Column, name: str = "items", spread: int = 16) -> DataFrame:
+    """Child rows as one sorted array per key, whatever its length.
 
-    Small groups give one row (part 0). A hot group gives as many rows as it needs, each holding a
-    sorted array, so no task ever holds the whole group.
+    The items of a key are collected and sorted in `spread` pieces by several tasks; the second step only joins the
+    pieces. A key's array is one value of the result, so it must fit into a row.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    wide = sizes.where(F.col("_n") > part_rows).select(
-        *keys, F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
-    d = df.withColumn("_item", item).withColumn("_h", F.xxhash64(id_col))
-    d = d.join(wide, list(keys), "left").withColumn(
-        "part", F.pmod(F.col("_h"), F.coalesce(F.col("_parts"), F.lit(1))).cast("int"))
-    return d.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias(name))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when a counted bound holds; beyond it the join is shuffled."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    d = df.withColumn("_item", item).withColumn("_piece", F.pmod(F.xxhash64(id_col), F.lit(spread)))
+    pieces = d.groupBy(*keys, "_piece").agg(F.collect_list("_item").alias("_items"))
+    return pieces.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_items"))).alias(name))

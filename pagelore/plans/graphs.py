@@ -79,27 +79,28 @@ def scored_edges(t: Inputs):
 
 @query("gra_05_best_first")
 def best_first(t: Inputs):
-    """One crawl per nation over the supplier-part graph, ten best nodes a round (order checked in the tests)."""
+    """One crawl per nation over the supplier-part graph, ten best nodes a round, 40 pages a crawl (order checked in the tests)."""
     s = t.supplier.select(F.col("s_nationkey").cast("string").alias("crawl"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return G.best_first(scored_edges(t), s, batch=10, rounds=4)
+    return G.best_first(scored_edges(t), s, batch=10, max_pages=40)
 
 
 @query("gra_06_depth_first")
 def depth_first(t: Inputs):
     from pyspark.sql import Window
     e = derived.edges(t).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    s = seeds(t).withColumn("ord", F.abs(F.hash("node")))
+    s = seeds(t).withColumn("ord", F.row_number().over(Window.orderBy("node")))  # a few seeds, numbered
     return G.depth_first(e, s, 3).select("node", F.array_join("path", ".").alias("path"))
 
 
 @query("gra_07_adaptive_crawl")
 def adaptive_crawl(t: Inputs):
-    """Adaptive crawls over the page links: addresses scored for the query, best first, until saturation."""
+    """Adaptive crawls over the page links: addresses scored for the query, best first, until no pending address reaches
+    the least score (saturation) or a crawl has its 25 pages."""
     q = X.clean_tokens(X.words(F.lit("thanedble attion guide")))
     links = page_links(t)
     e = links.select(F.col("url").alias("src"), F.col("link").alias("dst"), F.round(S.crawl_score(F.col("link"), q), 6).alias("score")).groupBy("src", "dst").agg(F.max("score").alias("score"))
     s = t.pages.select(U.host(F.col("url")).alias("crawl"), F.col("url").alias("node"))
-    return G.best_first(e, s, batch=5, rounds=3, min_score=0.3)
+    return G.best_first(e, s, batch=5, max_pages=25, saturation=0.3)
 
 
 @query("gra_08_website_map", f"""
@@ -153,7 +154,7 @@ WITH l AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '/none' ELSE ur
 SELECT l.page_id, link, round(CASE WHEN p.url IS NULL THEN 0 ELSE ((contains(title || ' ' || link, 'the'))::INT + (contains(title || ' ' || link, 'feed'))::INT) / 2 END, 6)::DOUBLE AS score FROM l LEFT JOIN p ON link = url""")
 def enriched_links(t: Inputs):
     links = t.pages.select("page_id", F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/none"))).otherwise(F.col("url")).alias("link"))
-    p = t.pages.select("url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), (F.col("page_id") % 3 != 0).alias("ok"))
+    p = t.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), (F.col("page_id") % 3 != 0).alias("ok"))
     return G.enriched_links(links, p, "of The feed").select("page_id", "link", F.round("score", 6).alias("score"))
 
 
@@ -167,7 +168,7 @@ def block_clusters(t: Inputs):
 
 
 @query("htm_24_enhanced_record", f"""
-WITH {SCORES_SQL}, r AS (SELECT page_id, string_agg(link, ' ' ORDER BY o DESC, pos) AS top_links, count(*) AS n FROM (SELECT *, round(overall, 6) AS o, row_number() OVER (PARTITION BY page_id ORDER BY round(overall, 6) DESC, pos) AS rk FROM scored) WHERE rk <= 20 GROUP BY 1), {MAIN_SQL} SELECT page_id, title, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END::INT AS word_count, n AS n_top_links, md5(top_links) AS links_md5, true AS has_markdown FROM r JOIN main USING (page_id)""")
+WITH {SCORES_SQL}, r AS (SELECT page_id, string_agg(link, ' ' ORDER BY o DESC, pos) AS top_links, count(*) AS n FROM (SELECT *, round(overall, 6) AS o, row_number() OVER (PARTITION BY page_id ORDER BY round(overall, 6) DESC, pos) AS rk FROM scored) WHERE rk <= 20 GROUP BY 1), {MAIN_SQL} SELECT page_id, title, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END::INT AS word_count, coalesce(n, 0) AS n_top_links, md5(coalesce(top_links, '')) AS links_md5, true AS has_markdown FROM main LEFT JOIN r USING (page_id)""")
 def enhanced_record(t: Inputs):
     """Page record with pruned blocks, Markdown and the best twenty links, joined by page."""
     from ..functions import dom, markdown as M
@@ -178,4 +179,5 @@ def enhanced_record(t: Inputs):
     kept = P.prune(P.blocks(d)).where("keep").groupBy("page_id").agg(F.count(F.lit(1)).alias("blocks"))
     top = top_per_key(scored_links(t).select("page_id", "link", "overall", "pos"), ["page_id"], [F.col("overall").desc(), F.col("pos")], 20)
     links = top.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_top_links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "link"))), lambda x: x["link"]), " ").alias("links"))
-    return rec.join(md, "page_id").join(kept, "page_id", "left").join(links, "page_id").select("page_id", "title", "word_count", "n_top_links", F.md5("links").alias("links_md5"), (F.length("markdown") > 0).alias("has_markdown"))
+    whole = rec.join(md, "page_id", "left").join(kept, "page_id", "left").join(links, "page_id", "left").fillna({"n_top_links": 0, "links": ""})
+    return whole.select("page_id", "title", "word_count", "n_top_links", F.md5("links").alias("links_md5"), (F.length("markdown") > 0).alias("has_markdown"))

@@ -9,7 +9,7 @@ from ..functions import markdown as M
 from ..functions import text as X
 from ..operators import entities as E
 from ..operators import pages as P
-from ..operators.skew import collect_in_parts
+from ..operators.skew import nested
 from ..session import table_once
 from .registry import Inputs, query
 from .scalars import WS
@@ -54,7 +54,7 @@ def order_pages(t: Inputs):
     """One page per order with its lines as a data table; small orders come as layout tables."""
     li = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).alias("x"),
                            F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("i"))
-    rows = collect_in_parts(li, ["l_orderkey"], F.col("x"), F.col("i"), "rows")
+    rows = nested(li, ["l_orderkey"], F.col("x"), F.col("i"), "rows")
     tr = F.array_join(F.transform("rows", lambda r: F.concat(
         F.lit("<tr><td>"), r["l_linenumber"].cast("string"), F.lit("</td><td><a href=\"/part/"), r["l_partkey"].cast("string"), F.lit("\">Part "), r["l_partkey"].cast("string"),
         F.lit("</a></td><td>"), r["q"].cast("string"), F.lit("</td></tr>"))), "")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import joins as J
-from ..operators.skew import collect_in_parts, latest_per_key, previous_row, spread_join, top_per_key
+from ..operators.skew import nested, latest_per_key, previous_row, spread_join, top_per_key
 from ..sources import crawl_store
 from . import derived
 from .derived import EDGE_SQL, ENTITY_SQL
@@ -21,7 +21,7 @@ def hits(t: Inputs):
 
 
 def scraped(t: Inputs):
-    return t.pages.select("url", "html", (F.col("page_id") % 3 != 0).alias("success"))
+    return t.pages.select("page_id", "url", "html", (F.col("page_id") % 3 != 0).alias("success"))
 
 
 HITS_SQL = """hits AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN rtrim(url, '/') || '/' ELSE url END AS url, 'snippet of ' || page_id AS snippet FROM pages
@@ -29,13 +29,15 @@ HITS_SQL = """hits AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN rtrim(url,
 
 
 def attach_pages(h, p, cols):
+    """Hits with the columns of the scraped page of their address; of several pages the last one counts."""
     key = lambda c: F.rtrim(c, F.lit("/"))
-    right = p.where("success").select(key("url").alias("_k"), *cols).dropDuplicates(["_k"])
+    ids = p.where("success").groupBy(key("url").alias("_k")).agg(F.max("page_id").alias("page_id"))
+    right = p.select("page_id", *cols).join(ids, "page_id").drop("page_id")
     return h.withColumn("_k", key("url")).join(right, "_k", "left").drop("_k")
 
 
 @query("join_01_hits_pages", f"""
-WITH {HITS_SQL}, p AS (SELECT rtrim(url, '/') AS k, md5(html) AS h FROM pages WHERE page_id % 3 <> 0)
+WITH {HITS_SQL}, p AS (SELECT rtrim(url, '/') AS k, md5(arg_max(html, page_id)) AS h FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
 SELECT hits.url, h AS html_md5, h IS NULL AS failed FROM hits LEFT JOIN p ON rtrim(hits.url, '/') = k""")
 def hits_pages(t: Inputs):
     j = attach_pages(hits(t), scraped(t), ["html"])
@@ -43,7 +45,7 @@ def hits_pages(t: Inputs):
 
 
 @query("join_02_content_fallback", f"""
-WITH {HITS_SQL}, p AS (SELECT rtrim(url, '/') AS k, html FROM pages WHERE page_id % 3 <> 0)
+WITH {HITS_SQL}, p AS (SELECT rtrim(url, '/') AS k, arg_max(html, page_id) AS html FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
 SELECT hits.url, md5(coalesce(html, snippet)) AS content_md5, len(list_filter(regexp_split_to_array(coalesce(html, snippet), '\\s+'), lambda x: x <> ''))::BIGINT AS n_words
 FROM hits LEFT JOIN p ON rtrim(hits.url, '/') = k""")
 def content_fallback(t: Inputs):
@@ -63,10 +65,10 @@ FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1
 UNION ALL SELECT c_custkey, 'usage', count(event_id), md5(string_agg(event_id::VARCHAR, ',' ORDER BY event_id))
 FROM customer JOIN events ON user_id = c_custkey GROUP BY 1""")
 def user_children(t: Inputs):
-    """Children nested per user and kind, in parts when a user has very many (see collect_in_parts)."""
+    """Children nested per user and kind, one row each."""
     o = t.orders.select(F.col("o_custkey").alias("user_id"), F.lit("subscriptions").alias("kind"), F.col("o_orderkey").alias("id"))
     e = t.events.select("user_id", F.lit("usage").alias("kind"), F.col("event_id").alias("id"))
-    c = collect_in_parts(o.unionByName(e), ["user_id", "kind"], F.col("id"), F.col("id"), "ids")
+    c = nested(o.unionByName(e), ["user_id", "kind"], F.col("id"), F.col("id"), "ids")
     u = t.customer.select(F.col("c_custkey").alias("user_id"))
     return c.join(u, "user_id").select("user_id", "kind", F.size("ids").cast("long").alias("n"),
                                        F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))

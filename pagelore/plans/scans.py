@@ -101,7 +101,8 @@ def sitemap(t: Inputs):
 def robots_table(t: Inputs):
     h = t.pages.select(U.host(F.col("url")).alias("host")).distinct()
     return h.withColumn("body", F.concat(
-        F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/ # closed\nAllow: /en/5\nDisallow: /de\n"),
+        F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nuser-agent: another\nDisallow: /en/ # closed\nAllow: /en/5\nDisallow: /de\n"),
+        F.lit("Disallow: /en/5?page=\nDisallow: /fr/1\nAllow: /fr/1?utm_source=feed\nUser-agent: third\nDisallow: /es\n"),
         F.lit("Sitemap: https://"), "host", F.lit("/sitemap.xml\nsitemap: https://"), "host", F.lit("/news.xml\n")))
 
 
@@ -114,9 +115,9 @@ def robots_sitemaps(t: Inputs):
 
 
 @query("src_08_robots_check", """
-WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, CASE WHEN starts_with(path, '/en/5') THEN true WHEN starts_with(path, '/en/') THEN false
-  WHEN starts_with(path, '/de') THEN false ELSE true END AS allowed FROM p""")
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN starts_with(path, '/en/5?page=') THEN false WHEN starts_with(path, '/en/5') THEN true WHEN starts_with(path, '/en/') THEN false
+  WHEN starts_with(path, '/de') THEN false WHEN starts_with(path, '/fr/1?utm_source=feed') THEN true WHEN starts_with(path, '/fr/1') THEN false ELSE true END AS allowed FROM p""")
 def robots_check(t: Inputs):
     rules = sitemaps.robots_rules(robots_table(t))
     return sitemaps.allowed_by_robots(t.pages.select("page_id", "url"), rules).select("page_id", "allowed")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import short_sha
-from ..operators.skew import spread_join
 
 READS = ("enabled", "read_only")
 WRITES = ("enabled", "write_only")
@@ -19,11 +18,11 @@ def cache_key(url: Column) -> Column:
 def lookup(requests: DataFrame, cache: DataFrame, key: str, now: Column, mode: str = "enabled") -> DataFrame:
     """Adds `cache_status`: hit, expired or miss; bypass when the mode does not read.
 
-    Requests for one hot address go to several tasks; the cache holds one row per key.
+    A plain equi join, so adaptive execution splits the partition of a hot address; the cache holds one row per key.
     """
     if mode not in READS:
         return requests.withColumn("cache_status", F.lit("bypass"))
-    j = spread_join(requests, cache.select(key, F.col("expires_at").alias("_e")), [key], "left")
+    j = requests.join(cache.select(key, F.col("expires_at").alias("_e")), key, "left")
     status = F.when(F.col("_e").isNull(), "miss").when(F.col("_e") > now, "hit").otherwise("expired")
     return j.withColumn("cache_status", status).drop("_e")
 

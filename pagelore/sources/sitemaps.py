@@ -45,7 +45,7 @@ def expand_index(indexes: DataFrame, body: str, children: DataFrame, child_url:
     """Child sitemap rows named by index documents; one level per call."""
     locs = indexes.select(F.explode(F.from_xml(F.col(body), INDEX_DDL, _XML)["sitemap"]).alias("s")).select(
         F.trim("s.loc").alias(child_url)).where(f"{child_url} <> ''").distinct()
-    return spread_join(children, locs, [child_url])
+    return children.join(locs, child_url)
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:
@@ -64,32 +64,37 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     """One row per host: array of (prefix length, allow, prefix) for the agent's group.
 
-    Works on the split body of each file, so no shuffle: a fold carries the current group's agent.
+    Works on the split body of each file, so no shuffle: a fold carries whether the current group holds the agent,
+    and whether the group is still open to further agent lines, which it is until its first rule. Agents are compared
+    without case.
     """
     lines = F.transform(F.split("body", r"\r?\n"), lambda x: F.regexp_replace(x, r"\s*#.*$", ""))
     field = lambda x: F.lower(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)))
     value = lambda x: F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))
     rule_t = "array<struct<len:int,allow:boolean,prefix:string>>"
-    start = F.struct(F.lit(False).alias("on"), F.array().cast(rule_t).alias("rules"))
+    start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("open"), F.array().cast(rule_t).alias("rules"))
 
     def step(acc, x):
+        is_agent = field(x) == "user-agent"
         is_rule = field(x).isin("allow", "disallow") & (value(x) != "") & acc["on"]
+        mine = F.lower(value(x)) == agent.lower()
         rule = F.struct(F.length(value(x)).alias("len"), (field(x) == "allow").alias("allow"),
                         value(x).alias("prefix"))
         return F.struct(
-            F.when(field(x) == "user-agent", value(x) == agent).otherwise(acc["on"]).alias("on"),
+            F.when(is_agent, mine | (acc["on"] & acc["open"])).otherwise(acc["on"]).alias("on"),
+            (is_agent | (acc["open"] & ~field(x).isin("allow", "disallow", "crawl-delay", "request-rate"))).alias("open"),
             F.when(is_rule, F.concat(acc["rules"], F.array(rule))).otherwise(acc["rules"]).alias("rules"))
 
     return robots.select("host", F.aggregate(lines, start, step)["rules"].alias("rules"))
 
 
 def allowed_by_robots(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Adds `allowed`: the longest matching prefix decides, no rule or no file means allowed."""
+    """Adds `allowed`: the longest prefix of path and query decides, no rule or no file means allowed."""
     left = pages.withColumn("host", U.host(F.col(url)))
     joined = spread_join(left, rules, ["host"], "left", salt_by=[url])
     hit = F.array_max(F.filter(F.coalesce(F.col("rules"), F.array().cast(
         "array<struct<len:int,allow:boolean,prefix:string>>")),
-        lambda r: F.startswith(U.path(F.col(url)), r["prefix"])))
+        lambda r: F.startswith(U.path_and_query(F.col(url)), r["prefix"])))
     return joined.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("rules", "host")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import snapshot_key
-from ..operators.skew import collect_in_parts
+from ..operators.skew import nested
 
 
 def snapshot_rows(df: DataFrame, content: Column) -> DataFrame:
@@ -44,4 +44,4 @@ def read_audit(spark, path: str, schema: str, api_key_id, start: str, end: str,
 def audit_rows(refs: DataFrame, request: str, api_key: str) -> DataFrame:
     """One row per request with its envelope references; requests without a key are skipped."""
     item = F.struct("url", "snapshot_key", "content_sha256", "signed_at")
-    return collect_in_parts(refs.where(F.col(api_key).isNotNull()), [request, api_key], item, F.col("url"), "refs")
+    return nested(refs.where(F.col(api_key).isNotNull()), [request, api_key], item, F.col("url"), "refs")

@@ -28,6 +28,7 @@ from pagelore.operators import ranking as R
 from pagelore.operators import skew as S
 from pagelore.operators import vectors as V
 from pagelore.operators import windows as W
+from pagelore.sources import sitemaps as SM
 from pagelore.streaming import keyed as KD
 
 
@@ -184,13 +185,30 @@ def test_row_frame_previous_and_failures(spark):
         assert runs[i] == streak[k]
 
 
-def test_spread_join_and_parts(spark):
+def test_spread_join_and_nested(spark):
     rows, df = skewed(spark)
     right = df.select("k").distinct().withColumn("n", F.length("k"))
     assert S.spread_join(df, right, ["k"], salt_by=["i"]).count() == len(rows)
-    parts = S.collect_in_parts(df, ["k"], F.col("i"), F.col("i"), part_rows=100)
-    assert sorted(x for r in parts.collect() for x in r["items"]) == list(range(len(rows)))
-    assert parts.where("k = 'hot'").count() > 5
+    with pytest.raises(ValueError):
+        S.spread_join(df, right, ["k"], salt_by=["k"])
+    many = spark.range(2500).select(F.lit("hot").alias("k"), "id").unionByName(spark.range(3).select(F.lit("cold").alias("k"), "id"))
+    got = {r.k: r["items"] for r in S.nested(many, ["k"], F.col("id"), F.col("id")).collect()}
+    assert got == {"hot": list(range(2500)), "cold": [0, 1, 2]}
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.range(2200).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("src"), F.lpad((F.col("id") + 1).cast("string"), 5, "0").alias("dst"))
+    assert {r.component for r in G.components(chain).collect()} == {"00000"}
+
+
+def test_robots_groups(spark):
+    body = "User-agent: *\nUser-agent: other\nDisallow: /a\nAllow: /a/b?x=\n\nUser-agent: third\nDisallow: /\n"
+    rules = SM.robots_rules(spark.createDataFrame([("h.org", body)], "host string, body string"))
+    pages = spark.createDataFrame([("https://h.org/a/1",), ("https://h.org/a/b?x=1#f",), ("https://h.org/a/b?y",), ("https://h.org/c",), ("https://none.org/a",)], "url string")
+    got = {r.url: r.allowed for r in SM.allowed_by_robots(pages, rules).collect()}
+    assert list(got[u] for u in ("https://h.org/a/1", "https://h.org/a/b?x=1#f", "https://h.org/a/b?y", "https://h.org/c", "https://none.org/a")) == [False, True, False, True, True]
+    other = SM.robots_rules(spark.createDataFrame([("h.org", body)], "host string, body string"), "Other")
+    assert {r.url: r.allowed for r in SM.allowed_by_robots(pages, other).collect()} == got
 
 
 def test_ewma_forms_agree(spark):
@@ -277,7 +295,7 @@ def test_crawls(spark):
     cc = {r.node: r.component for r in G.components(e).collect()}
     assert {cc[n] for n in "abcdefg"} == {"a"} and {cc[n] for n in "xyz"} == {"x"}
     sc = e.withColumn("score", F.when(F.col("dst") == "c", 0.9).when(F.col("dst") == "e", 0.8).otherwise(0.5))
-    best = G.best_first(sc, s.withColumn("crawl", F.lit("1")), batch=1, rounds=4).orderBy("round").collect()
+    best = G.best_first(sc, s.withColumn("crawl", F.lit("1")), batch=1, max_pages=4).orderBy("round").collect()
     assert [r.node for r in best] == ["a", "c", "e", "b", "d"]
     o = e.withColumn("ord", F.ascii("dst"))
     dfs = G.depth_first(o, s.withColumn("ord", F.lit(0)), 3).orderBy("path").collect()
