@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import digests as D
 from ..functions import text as X
 from ..functions.textdiff import change_percentage
+from ..session import write_and_read
 from .skew import numbered, previous_row, spread_join, top_per_key
 
 
@@ -81,11 +82,11 @@ def track_changes(versions: DataFrame, keys: list[str], order: Column, slice_col
 NEGATIONS = ("not", "no", "never", "false", "hoax", "deny", "denied", "incorrect", "untrue")
 
 
-def claim_evidence(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, size: int = 5, spread: int = 16) -> DataFrame:
+def claim_evidence(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str, size: int = 5) -> DataFrame:
     """(claim, doc, shared, total, containment): share of the claim's word shingles found in the document.
 
-    Shingles are hashed in their row; the document side is large and may repeat boilerplate, so it is
-    spread over several tasks per shingle, and only shingles of some claim survive the join.
+    The claims' shingles are written, so Spark knows their size: if small, they go to the tasks that cut the documents,
+    and only shingles of some claim are ever shuffled; if large, both sides are shuffled by shingle.
     """
     def grams(c):
         return X.let(X.index_tokens(c), lambda w: F.when(F.size(w) >= size, F.array_distinct(F.transform(
@@ -96,7 +97,7 @@ def claim_evidence(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: st
     total = c.select(claim_id, F.size("g").alias("total"))
     q = c.select(claim_id, F.explode("g").alias("gram"))
     d = docs.select(doc_id, F.explode(grams(F.col("text"))).alias("gram"))
-    hit = spread_join(d, q, ["gram"], "inner", spread, salt_by=[doc_id]).groupBy(claim_id, doc_id).agg(F.count(F.lit(1)).alias("shared"))
+    hit = d.join(write_and_read(q, "grams"), "gram").groupBy(claim_id, doc_id).agg(F.count(F.lit(1)).alias("shared"))
     return hit.join(total, claim_id).withColumn("containment", F.col("shared") / F.col("total"))
 
 

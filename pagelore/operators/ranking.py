@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_tokens
-from .skew import previous_row, spread_join, top_per_key
+from ..session import write_and_read
+from .skew import previous_row, top_per_key
 
 # Okapi parameters; a negative idf becomes eps times the mean idf.
 K1, BM_B, EPS = 1.5, 0.75, 0.25
@@ -28,12 +29,13 @@ def _gain(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - BM_B + BM_B * dl / avgdl))
 
 
-def bm25_corpus(post: DataFrame, queries: DataFrame, doc: str, query: str, spread: int = 16) -> DataFrame:
+def bm25_corpus(post: DataFrame, queries: DataFrame, doc: str, query: str) -> DataFrame:
     """(query, doc, score) for every pair that shares a term.
 
-    Document frequencies and the two corpus numbers come from the postings; only terms of some query
-    reach the join, and a hot term's postings are spread over several tasks. The corpus numbers are
-    scalar subqueries, so nothing passes through the driver.
+    The query terms with their weights are written, so Spark knows their size: a small table goes to the tasks that
+    hold the postings, and over postings in buckets by document each score is complete inside its partition. A best-k
+    filter on top then sends k rows of a query and partition. A larger table is joined by a shuffle on the term. The
+    corpus numbers are scalar subqueries, so nothing passes through the driver.
     """
     per_doc = post.groupBy(doc).agg(F.first("dl").alias("dl"))
     n_docs, avgdl = per_doc.agg(F.count(F.lit(1))).scalar(), per_doc.agg(F.avg("dl")).scalar()
@@ -42,8 +44,8 @@ def bm25_corpus(post: DataFrame, queries: DataFrame, doc: str, query: str, sprea
     idf = df.select("tok", F.when(F.col("idf") < 0, mean_idf * EPS).otherwise(F.col("idf")).alias("idf"))
     q = queries.groupBy(query, "tok").agg(F.count(F.lit(1)).alias("qtf"))
     # pulling the idf in on the query side keeps the second join free of a third table
-    terms = q.join(idf, "tok")
-    hit = spread_join(post, terms, ["tok"], "inner", spread, salt_by=[doc])
+    terms = write_and_read(q.join(idf, "tok"), "terms")
+    hit = post.join(terms, "tok")
     return hit.groupBy(query, doc).agg(F.sum(F.col("qtf") * F.col("idf") * _gain(F.col("tf"), F.col("dl"), avgdl)).alias("score"))
 
 

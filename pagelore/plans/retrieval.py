@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import prompts as P
 from ..operators import ranking as R
 from ..operators.skew import top_per_key
-from ..session import table_once
+from ..session import bucketed_once
 from .registry import Inputs, query
 from .scalars import STOP, WS
 
@@ -38,7 +38,7 @@ hits AS (SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_nu
 
 
 def corpus_postings(t: Inputs):
-    return table_once(t.spark, t.folder, "postings", lambda: R.postings(t.spread("documents"), ["doc_id"], R.query_tokens(F.col("text"))))
+    return bucketed_once(t.spark, t.folder, "postings", lambda: R.postings(t.spread("documents"), ["doc_id"], R.query_tokens(F.col("text"))), "doc_id")
 
 
 def bench_terms(t: Inputs):

@@ -76,6 +76,19 @@ def table_once(spark: SparkSession, scope: str, name: str, make) -> DataFrame:
     return spark.read.parquet(_TABLES[key])
 
 
+def bucketed_once(spark: SparkSession, scope: str, name: str, make, by: str) -> DataFrame:
+    """Like `table_once`, but stored in buckets by a column: what is grouped by it (and more) later needs no exchange."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _TABLES:
+        table = f"pagelore_{name}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = make()
+        # one writing task per bucket, so that a bucket is one file
+        (df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(table))
+        _TABLES[key] = table
+    return spark.table(_TABLES[key])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor."""
     app = spark.sparkContext.applicationId
