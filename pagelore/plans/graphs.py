@@ -71,9 +71,9 @@ def components(t: Inputs):
 
 
 def scored_edges(t: Inputs):
-    li = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount")
-    a = li.where("l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 40").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), (F.col("l_discount") * 5 + 0.4).alias("score"))
-    b = li.where("l_returnflag = 'R' AND l_quantity > 45").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), (F.col("l_discount") * 5 + 0.4).alias("score"))
+    li = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag", "l_discount")
+    a = li.where("l_returnflag <> 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), (F.col("l_discount") * 5 + 0.4).alias("score"))
+    b = li.where("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), (F.col("l_discount") * 5 + 0.4).alias("score"))
     return a.unionByName(b).groupBy("src", "dst").agg(F.round(F.max("score"), 6).alias("score"))
 
 
