@@ -21,6 +21,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, write_and_read
 
 MIN_PAGES = 10
 MIN_SHARE = 0.6
@@ -148,12 +149,11 @@ def parse(html: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
                 text.append(" " if tag == "br" else "")
             continue
         zone = _zone(tag, attrs)
-        if tag in RAW or (zone and tag not in BLOCKS):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if tag in RAW:
-                at = close.end() if close else end
-                text.append(" ")
-                continue
+        if tag in RAW:
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            at = close.end() if close else end
+            text.append(" ")
+            continue
         if zone and not dropped:
             flush()
         stack.append((tag, path, max(place, {"article": 3, "main": 2}.get(tag, 2 if attrs.get("role") == "main" else 1)), dropped or zone))
@@ -161,12 +161,12 @@ def parse(html: str) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
     return paths, blocks
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("token", pa.int64())])
-PARSED = "page_id long, url string, host string, signature long, structure array<struct<token:long,count:int>>, blocks array<struct<text:string,token:long>>"
+_BLOCK = pa.struct([("text", pa.string()), ("token", pa.int64()), ("count", pa.int32())])
+PARSED = "page_id long, url string, host string, signature long, structure array<struct<token:long,count:int>>, blocks array<struct<text:string,token:long,count:int>>"
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: its structure tokens with counts, and the blocks of its article in page order."""
+    """One row per page: its structure tokens and the blocks of its article in page order, both with their counts on the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -183,7 +183,8 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     place = max((p for _, _, p in blocks), default=0)
                     kept = [(t, token(path, t)) for path, t, p in blocks if p and p == place]
                     structures.append([{"token": token(p), "count": n} for p, n in paths.items()])
-                    bodies.append([{"text": t, "token": x} for t, x in kept])
+                    often = Counter(x for _, x in kept)
+                    bodies.append([{"text": t, "token": x, "count": often[x]} for t, x in kept])
                     signatures.append(token(*(str(x) for _, x in kept)))
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), some.column(1), some.column(2), pa.array(signatures, pa.int64()),
@@ -204,19 +205,16 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
         "host", "signature",
         F.explode(F.concat(
             F.transform("structure", lambda s, i: F.struct(s["token"].alias("token"), s["count"].alias("count"), i.alias("place"), F.lit(False).alias("is_text"))),
-            F.transform("blocks", lambda x, i: F.struct(x["token"].alias("token"), F.lit(1).alias("count"), i.alias("place"), F.lit(True).alias("is_text"))))).alias("t"))
-    # copies of a page have equal tokens: counted once by taking the page's signature as its name
-    copies = pages.groupBy("host", "signature").agg(F.count(F.lit(1)).alias("copies"))
-    per_page = of.groupBy("host", "signature", "t.token", "t.is_text").agg(F.sum("t.count").alias("count"), F.min("t.place").alias("place"))
-    per_page = per_page.join(copies.where("copies > 1"), ["host", "signature"], "left").select(
-        "host", "signature", "token", "is_text", "place", F.when(F.col("is_text"), F.col("count") / F.coalesce("copies", F.lit(1))).otherwise(
-            F.col("count") / F.coalesce("copies", F.lit(1))).alias("count"))
+            F.transform("blocks", lambda x, i: F.struct(x["token"].alias("token"), x["count"].alias("count"), i.alias("place"), F.lit(True).alias("is_text"))))).alias("t"))
+    # copies of a page have the same signature, which is its name here, and so count once
+    per_page = of.groupBy("host", "signature", "t.token", "t.is_text").agg(F.max("t.count").alias("count"), F.min("t.place").alias("place"))
     vector = per_page.groupBy("host", "token", "is_text").agg(
         F.count(F.lit(1)).alias("n_pages"), F.max("count").alias("most"), F.avg("place").alias("place"),
         F.sum(F.xxhash64("signature", "count").cast("decimal(20,0)")).alias("vector"))
-    hosts = pages.groupBy("host", "signature").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = pages.select("host", "signature").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     able = vector.where((F.col("most") == 1) & (F.col("n_pages") >= min_pages)).join(hosts, "host").where(F.col("n_pages") >= min_share * F.col("host_pages"))
-    # what is left occurs on most pages of its host, so it is no more than a page holds
+    # what is left occurs on most pages of its host, so it is no more than a page holds; it is written, as it is read thrice
+    able = write_and_read(able, "vectors")
     classes = able.groupBy("host", "n_pages", "vector").agg(F.count_if(~F.col("is_text")).alias("tags")).where("tags > 0")
     classes = classes.select("host", "n_pages", "vector", F.xxhash64("n_pages", "vector").alias("class_id"))
     wider = classes.select("host", F.col("n_pages").alias("n")).groupBy("host").agg(F.collect_list("n").alias("sizes"))
