@@ -55,6 +55,32 @@ def sorted_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
+def _ascii(c: Column) -> Column:
+    """Characters above 127 as \\u escapes in lower case, a pair of them beyond the first plane."""
+    def unit(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(ch: Column) -> Column:
+        n = F.ascii(ch)
+        high, low = F.floor((n - 0x10000) / 1024) + 0xD800, (n - 0x10000) % 1024 + 0xDC00
+        return F.when(n < 128, ch).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as 2024-01-31T00:00:00, with six digits of a second if there are any."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(c, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+
+
+def canonical_object(fields: dict[str, Column], types: dict[str, str]) -> Column:
+    """JSON object with sorted keys and no blanks, ASCII, nulls kept, times in ISO form."""
+    cols = [(iso_time(fields[k]) if types.get(k, "").startswith("timestamp") else fields[k]).alias(k) for k in sorted(fields)]
+    return _ascii(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+
+
 @F.arrow_udf(T.StringType())
 def canonical_json(v: pa.Array) -> pa.Array:
     """Any JSON text with sorted keys, compact and ASCII; text that is no JSON stays as it is."""

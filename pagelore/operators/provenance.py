@@ -24,26 +24,35 @@ def normal_html(body_text: Column) -> Column:
     return X.squeeze(body_text)
 
 
-ENVELOPE_FIELDS = ("url", "content_sha256", "snapshot_key", "fetched_at", "key_id")
+# The signed fields of an envelope, and what a missing column counts as.
+ENVELOPE_FIELDS = ("v", "url", "fetched_at", "content_sha256", "content_type", "content_bytes", "snapshot_key", "engine", "agent_run_id", "api_key_id",
+                   "signed_at", "signing_key_id", "signing_alg")
+ENVELOPE_DEFAULTS = {"v": 1, "content_type": "text/html", "agent_run_id": None, "api_key_id": None, "signing_alg": "HMAC-SHA256"}
 
 
-def envelope_body(df_cols: dict[str, Column]) -> Column:
-    return D.sorted_json(**df_cols)
+def with_envelope_fields(df: DataFrame) -> DataFrame:
+    """Adds the fields that have a default; any other missing field is an error of the plan."""
+    return df.withColumns({c: F.lit(v) if v is not None else F.lit(None).cast("string") for c, v in ENVELOPE_DEFAULTS.items() if c not in df.columns})
+
+
+def envelope_body(df: DataFrame) -> Column:
+    """Canonical JSON of all fields but the signature: sorted keys, no blanks, nulls kept, ASCII, times in ISO form."""
+    return D.canonical_object({c: F.col(c) for c in ENVELOPE_FIELDS}, dict(df.dtypes))
 
 
 def sign(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adds the signature: HMAC of the canonical JSON under the key named by key_id (key_id, secret)."""
+    """Adds the signature: HMAC of the canonical JSON under the key named by signing_key_id (signing_key_id, secret)."""
+    d = with_envelope_fields(df)
     # few keys, many envelopes: each key's envelopes are spread over several tasks
-    j = spread_join(df, keys.select("key_id", "secret"), ["key_id"], salt_by=["url"])
-    body = envelope_body({c: F.col(c) for c in ENVELOPE_FIELDS})
-    return j.withColumn("signature", D.hmac_sha256_hex(body, F.col("secret"))).drop("secret")
+    j = spread_join(d, keys.select("signing_key_id", "secret"), ["signing_key_id"], salt_by=["url"])
+    return j.withColumn("signature", D.hmac_sha256_hex(envelope_body(d), F.col("secret"))).drop("secret")
 
 
 def verify(envelopes: DataFrame, keys: DataFrame) -> DataFrame:
     """status: valid, invalid, or unknown_key; rotated keys stay usable as long as they are in the table."""
-    j = spread_join(envelopes, keys.select("key_id", "secret"), ["key_id"], "left", salt_by=["url"])
-    body = envelope_body({c: F.col(c) for c in ENVELOPE_FIELDS})
-    ok = D.signature_ok(body, F.col("secret"), F.col("signature"))
+    d = with_envelope_fields(envelopes)
+    j = spread_join(d, keys.select("signing_key_id", "secret"), ["signing_key_id"], "left", salt_by=["url"])
+    ok = D.signature_ok(envelope_body(d), F.col("secret"), F.col("signature"))
     return j.withColumn("status", F.when(F.col("secret").isNull(), "unknown_key").when(ok, "valid").otherwise("invalid")).drop("secret")
 
 

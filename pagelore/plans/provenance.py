@@ -40,27 +40,38 @@ def snapshot_bundle(t: Inputs):
 
 def envelopes(t: Inputs):
     from ..sources.snapshots import snapshot_rows
-    d = t.documents.select(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), "text", F.lit("2024-01-31T00:00:00Z").alias("fetched_at"),
-                           F.concat(F.lit("key"), F.col("doc_id") % 10).alias("key_id"), "doc_id")
-    return snapshot_rows(d, F.col("text")).drop("text")
+    d = t.documents.select(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), "text", F.lit("2024-01-31 00:00:00").cast("timestamp").alias("fetched_at"),
+                           F.concat(F.lit("key"), F.col("doc_id") % 10).alias("signing_key_id"), "doc_id", F.concat(F.lit("caché:"), "lang").alias("engine"),
+                           F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("run"), "doc_id")).alias("agent_run_id"), F.lit("2024-02-01 10:20:30.5").cast("timestamp").alias("signed_at"))
+    return snapshot_rows(d, F.col("text")).withColumnRenamed("n_bytes", "content_bytes").drop("text")
 
 
 def key_table(t: Inputs):
     """Active and rotated keys; one key of the envelopes (key9) is missing."""
-    return t.supplier.where("s_suppkey < 9").select(F.concat(F.lit("key"), "s_suppkey").alias("key_id"), F.col("s_name").alias("secret"))
+    return t.supplier.where("s_suppkey < 9").select(F.concat(F.lit("key"), "s_suppkey").alias("signing_key_id"), F.col("s_name").alias("secret"))
 
 
-@query("prv_03_signed_envelopes")
+def _pad_sql(byte: int) -> str:
+    return f"array_to_string(list_transform(range(1, 65), lambda i: chr(CAST(xor(CASE WHEN i <= length(secret) THEN ascii(substr(secret, i, 1)) ELSE 0 END, {byte}) AS INTEGER))), '')"
+
+
+@query("prv_03_signed_envelopes", f"""
+WITH d AS (SELECT doc_id, 'key' || doc_id % 10 AS signing_key_id, sha256(text) AS sha, octet_length(encode(text)) AS n, source, lang FROM documents),
+k AS (SELECT 'key' || s_suppkey AS signing_key_id, s_name AS secret FROM supplier WHERE s_suppkey < 9),
+m AS (SELECT doc_id, signing_key_id, secret, '{{"agent_run_id":' || CASE WHEN doc_id % 3 = 0 THEN '"run' || doc_id || '"' ELSE 'null' END || ',"api_key_id":null,"content_bytes":' || n || ',"content_sha256":"' || sha
+  || '","content_type":"text/html","engine":"cach' || chr(92) || 'u00e9:' || lang || '","fetched_at":"2024-01-31T00:00:00","signed_at":"2024-02-01T10:20:30.500000","signing_alg":"HMAC-SHA256","signing_key_id":"' || signing_key_id
+  || '","snapshot_key":"citations/' || substr(sha, 1, 2) || '/' || substr(sha, 3, 2) || '/' || sha || '/snapshot.json","url":"https://' || source || '.example.org/' || doc_id || '","v":1}}' AS msg FROM d JOIN k USING (signing_key_id))
+SELECT doc_id, signing_key_id, sha256(encode({_pad_sql(0x5C)}) || unhex(sha256({_pad_sql(0x36)} || msg))) AS signature FROM m""")
 def signed_envelopes(t: Inputs):
-    """Signatures of all document envelopes (HMAC has no SQL form; the tests compare with Python's hmac)."""
-    return V.sign(envelopes(t), key_table(t)).select("doc_id", "key_id", "signature")
+    """Signatures of all document envelopes."""
+    return V.sign(envelopes(t), key_table(t)).select("doc_id", "signing_key_id", "signature")
 
 
 @query("prv_04_verify_envelopes", """
 SELECT CASE WHEN doc_id % 10 = 9 THEN 'unknown_key' WHEN doc_id % 4 = 0 THEN 'invalid' ELSE 'valid' END AS status, count(*) AS n FROM documents GROUP BY 1""")
 def verify_envelopes(t: Inputs):
     """Every fourth envelope is tampered with; key9 is unknown."""
-    every = t.supplier.where("s_suppkey < 10").select(F.concat(F.lit("key"), "s_suppkey").alias("key_id"), F.col("s_name").alias("secret"))
+    every = t.supplier.where("s_suppkey < 10").select(F.concat(F.lit("key"), "s_suppkey").alias("signing_key_id"), F.col("s_name").alias("secret"))
     s = V.sign(envelopes(t), every).withColumn("url", F.when(F.col("doc_id") % 4 == 0, F.concat("url", F.lit("#x"))).otherwise(F.col("url")))
     return V.verify(s, key_table(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,13 +2,17 @@
 
 import hashlib
 import hmac
+import json
 import math
 import random
 import re
+from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.functions import attributes as AT
@@ -355,13 +359,18 @@ def test_change_tracking(spark):
 
 
 def test_signatures_match_hmac(spark):
-    env = spark.createDataFrame([("u1", "s", "k", "t", "A")], "url string, content_sha256 string, snapshot_key string, fetched_at string, key_id string")
-    keys = spark.createDataFrame([("A", "secret")], "key_id string, secret string")
+    row = {"v": 1, "url": "https://e/\u00e9/\U0001f600\"q\\\\", "fetched_at": datetime(2024, 1, 31), "content_sha256": "s", "content_type": "text/html", "content_bytes": 7, "snapshot_key": "k",
+           "engine": "e", "agent_run_id": None, "api_key_id": "a", "signed_at": datetime(2024, 2, 1, 10, 20, 30, 500), "signing_key_id": "A", "signing_alg": "HMAC-SHA256"}
+    types = ", ".join(f"{k} {'int' if isinstance(v, int) else 'timestamp' if isinstance(v, datetime) else 'string'}" for k, v in row.items())
+    env = spark.createDataFrame([tuple(row.values())], types)
+    keys = spark.createDataFrame([("A", "secret")], "signing_key_id string, secret string")
     s = PV.sign(env, keys)
-    body = '{"content_sha256":"s","fetched_at":"t","key_id":"A","snapshot_key":"k","url":"u1"}'
+    body = json.dumps({k: v.isoformat() if isinstance(v, datetime) else v for k, v in row.items()}, separators=(",", ":"), sort_keys=True)
     assert s.first().signature == hmac.new(b"secret", body.encode(), hashlib.sha256).hexdigest()
     assert PV.verify(s, keys).first().status == "valid"
-    assert PV.verify(s.withColumn("url", F.lit("u2")), keys).first().status == "invalid"
+    changed = [s.withColumn(f, {"int": F.lit(9), "timestamp": F.lit("2020-01-01").cast("timestamp")}.get(dict(s.dtypes)[f], F.lit("x"))).withColumn("changed", F.lit(f)) for f in PV.ENVELOPE_FIELDS]
+    got = {r.changed: r.status for r in PV.verify(reduce(DataFrame.unionByName, changed), keys).collect()}
+    assert got == {f: "unknown_key" if f == "signing_key_id" else "invalid" for f in PV.ENVELOPE_FIELDS}
 
 
 def fold(step, rows):
