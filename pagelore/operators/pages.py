@@ -58,8 +58,9 @@ def distinct_links(arr: Column) -> Column:
     return let(arr, lambda a: let(F.transform(a, lambda x: x["link"]), lambda u: F.filter(a, lambda x, i: F.array_position(u, x["link"]) == i + 1)))
 
 
-def image_array(base: Column, limit: int = 100) -> Column:
-    """Image structs of a page: lazy sources and picture sources resolved, trackers and repeats left out."""
+def image_array(base: Column, limit: int | None = None) -> Column:
+    """Image structs of a page: lazy sources and picture sources resolved, trackers and repeats left out; all of them,
+    or the first `limit`."""
     els = F.filter(_n(), lambda n: n["tag"].isin("img", "source"))
 
     def one(n):
@@ -68,7 +69,8 @@ def image_array(base: Column, limit: int = 100) -> Column:
         return F.struct(U.resolve(base, src).alias("link"), F.coalesce(a["alt"], F.lit("")).alias("alt"),
                         tracking_pixel(F.coalesce(src, F.lit("")), a["width"], a["height"]).alias("pixel"), src.isNull().alias("none"))
 
-    return F.slice(distinct_links(F.filter(F.transform(els, one), lambda x: ~x["pixel"] & ~x["none"])), 1, limit)
+    found = distinct_links(F.filter(F.transform(els, one), lambda x: ~x["pixel"] & ~x["none"]))
+    return F.slice(found, 1, limit) if limit else found
 
 
 def title() -> Column:
@@ -79,7 +81,7 @@ def title() -> Column:
 def prefixed_map(attr: str, prefix: str) -> Column:
     """og:* or twitter:* properties as map; the last value of a repeated name wins."""
     hits = F.filter(_n(), lambda n: (n["tag"] == "meta") & F.coalesce(F.lower(n["attrs"][attr]).startswith(prefix), F.lit(False)))
-    kv = F.transform(hits, lambda n: F.struct(F.substring(F.lower(n["attrs"][attr]), len(prefix) + 1, 200).alias("k"),
+    kv = F.transform(hits, lambda n: F.struct(F.substring(F.lower(n["attrs"][attr]), F.lit(len(prefix) + 1), F.length(n["attrs"][attr])).alias("k"),
                                               F.coalesce(n["attrs"]["content"], F.lit("")).alias("v")))
     return let(kv, lambda a: let(F.array_distinct(F.transform(a, lambda x: x["k"])), lambda ks: F.map_from_arrays(
         ks, F.transform(ks, lambda k: F.element_at(F.filter(a, lambda x: x["k"] == k), -1)["v"]))))
@@ -108,7 +110,7 @@ def page_record(df: DataFrame) -> DataFrame:
     d = df.withColumns({"title": title(), "text": main_content()})
     n_links = F.size(F.filter(dom.elements(_n(), "a[href]"), lambda n: ~n["attrs"]["href"].rlike("^(?:#|javascript:|mailto:)")))
     return d.select("page_id", "url", "title", "text", X.word_count(F.col("text")).alias("word_count"), X.language_of(F.col("text")).alias("language"),
-                    X.quality_score(F.col("text")).alias("quality"), F.least(n_links, F.lit(200)).alias("n_links"),
+                    X.quality_score(F.col("text")).alias("quality"), n_links.alias("n_links"),
                     F.size(image_array(F.col("url"))).alias("n_images"), (F.length("text") > 0).alias("success"))
 
 
@@ -161,11 +163,12 @@ def _labeller(sel, attr):
     return lambda v, i: F.struct(F.lit(sel).alias("selector"), F.lit(attr).alias("attribute"), i.alias("pos"), v.alias("value"))
 
 
-def css_entities(df: DataFrame) -> DataFrame:
-    """Title, price, description, author and date elements, at most five per selector, confidence 0.7."""
+def css_entities(df: DataFrame, per_selector: int | None = None) -> DataFrame:
+    """Title, price, description, author and date elements, all or the first few per selector, confidence 0.7."""
     selectors = {"title": ("h1", "h2", ".title", "#title"), "price": (".price", ".cost", "[data-price]"),
                  "description": (".description", ".summary", ".excerpt"), "author": (".author", ".by", "[rel=author]"), "date": (".date", ".published", "time")}
-    packs = [F.transform(F.slice(dom.elements(_n(), s), 1, 5), _entity(kind, s)) for kind, ss in selectors.items() for s in ss]
+    few = lambda c: F.slice(c, 1, per_selector) if per_selector else c
+    packs = [F.transform(few(dom.elements(_n(), s)), _entity(kind, s)) for kind, ss in selectors.items() for s in ss]
     return df.select("page_id", F.explode(F.concat(*packs)).alias("e")).select("page_id", "e.*")
 
 

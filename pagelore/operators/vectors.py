@@ -5,12 +5,15 @@ Scores are block products in Arrow batches; Spark partitions the corpus and merg
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_and_read
 from .skew import top_per_key
 
 MAX_QUERY_BLOCK = 2048
@@ -58,21 +61,20 @@ def _scan(corpus: DataFrame, qids: list, q: np.ndarray, k: int, min_score: float
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.0, exclude_self: bool = False) -> DataFrame:
     """Best k corpus rows (id, embedding) for every query (query_id, embedding): score (cos + 1) / 2.
 
-    Queries are taken in id order in blocks of bounded size, one corpus scan per block; a task sends at
-    most k rows per query and batch, so the shuffle does not grow with the corpus rows. Exact.
+    The queries are written once and come back partition by partition, in blocks of bounded size. A block runs over the
+    corpus once, as a job of its own that writes its best rows: neither the plan nor the driver holds more than one
+    block. A task sends at most k rows per query and batch, so the shuffle does not grow with the corpus rows. Exact.
     """
-    n = queries.count()
-    ordered = queries.select(F.col("query_id").cast("long"), "embedding").orderBy("query_id")
-    out = None
-    for start in range(0, max(n, 1), MAX_QUERY_BLOCK):
-        block = ordered.offset(start).limit(MAX_QUERY_BLOCK).collect()
-        if not block:
-            break
-        part = _scan(corpus, [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64), k, min_score, exclude_self)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    return top_per_key(out, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    out, block = None, []
+    stored = write_and_read(queries.select(F.col("query_id").cast("long"), "embedding"), "queries")
+    for r in chain(stored.toLocalIterator(), [None]):
+        if r is not None:
+            block.append(r)
+        if block and (r is None or len(block) == MAX_QUERY_BLOCK):
+            part = _scan(corpus, [x[0] for x in block], np.array([x[1] for x in block], dtype=np.float64), k, min_score, exclude_self)
+            best = write_and_read(top_per_key(part, ["query_id"], [F.col("score").desc(), F.col("id")], k), "best")
+            out, block = best if out is None else out.unionByName(best), []
+    return out if out is not None else corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
 
 
 def distinct_vectors(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:

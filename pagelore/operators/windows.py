@@ -28,15 +28,20 @@ def ewma(df: DataFrame, keys: list[str], slice_col: Column, order: list[Column],
     """Final exponentially weighted mean per key, as one weighted sum.
 
     With row number r of N the weight is a(1-a)^(N-r); the first value keeps (1-a)^(N-1) when the
-    series starts with it, else the series starts at zero. No fold over the key is needed.
+    series starts with it, else the series starts at zero. Each slice sums its own rows with the weights they have
+    at its end; a slice's sum then fades by the rows of the slices after it. No row meets its whole key.
     """
-    d = numbered(df, keys, slice_col, order, "rn")
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    back = F.col("_n") - F.col("rn")
-    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), back)
-    if start_with_first:
-        weight = F.when(F.col("rn") == 1, F.pow(F.lit(1 - alpha), back)).otherwise(weight)
-    return d.join(n, keys).groupBy(*keys).agg(F.sum(F.col(value) * weight).alias("ewma"), F.count(F.lit(1)).alias("n"))
+    fade = F.lit(1 - alpha)
+    d = df.withColumn("_slice", slice_col)
+    w = Window.partitionBy(*keys, "_slice")
+    d = d.withColumn("_in", F.row_number().over(w.orderBy(*order))).withColumn("_cnt", F.count(F.lit(1)).over(w))
+    part = d.groupBy(*keys, "_slice").agg(F.sum(F.col(value) * F.lit(alpha) * F.pow(fade, F.col("_cnt") - F.col("_in"))).alias("_sum"),
+                                          F.max("_cnt").alias("_cnt"), F.min_by(value, "_in").alias("_first"))
+    after = Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_after", F.coalesce(F.sum("_cnt").over(after), F.lit(0)))
+    out = part.groupBy(*keys).agg(F.sum(F.col("_sum") * F.pow(fade, F.col("_after"))).alias("ewma"), F.sum("_cnt").alias("n"), F.min_by("_first", "_slice").alias("_first"))
+    start = F.col("_first") * F.pow(fade, F.col("n")) if start_with_first else F.lit(0.0)
+    return out.select(*keys, (F.col("ewma") + start).alias("ewma"), "n")
 
 
 def cumulative_mean(df: DataFrame, keys: list[str], slice_col: Column, order: list[Column], value: str) -> DataFrame:

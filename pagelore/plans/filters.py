@@ -117,13 +117,14 @@ def preview_gate(t: Inputs):
 
 @query("flt_10_href_limits", """
 WITH a AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: NOT regexp_matches(x, '^(#|javascript:|mailto:)')) AS hrefs FROM pages)
-SELECT page_id, least(len(hrefs), 200)::BIGINT AS n_links, array_to_string(hrefs[1:200], ' ') AS hrefs FROM a""")
+SELECT page_id, len(hrefs)::BIGINT AS n_links, greatest(len(hrefs) - 200, 0)::BIGINT AS n_over, array_to_string(hrefs, ' ') AS hrefs FROM a""")
 def href_limits(t: Inputs):
-    """Links of a page, anchors and pseudo links left out, at most 200 as defined."""
+    """Links of a page, anchors and pseudo links left out, and how many a limit of 200 would leave out."""
     from ..functions import dom
     hrefs = F.transform(dom.elements(F.col("nodes"), "a[href]"), lambda n: n["attrs"]["href"])
-    d = dom.parsed_pages(t).select("page_id", F.slice(F.filter(hrefs, lambda h: ~h.rlike("^(?:#|javascript:|mailto:)")), 1, 200).alias("h"))
-    return d.select("page_id", F.size("h").cast("long").alias("n_links"), F.array_join("h", " ").alias("hrefs"))
+    d = dom.parsed_pages(t).select("page_id", F.filter(hrefs, lambda h: ~h.rlike("^(?:#|javascript:|mailto:)")).alias("h"))
+    n = F.size("h").cast("long")
+    return d.select("page_id", n.alias("n_links"), F.greatest(n - 200, F.lit(0)).alias("n_over"), F.array_join("h", " ").alias("hrefs"))
 
 
 @query("flt_11_tracking_pixel", """

@@ -22,7 +22,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PAGELORE_DRIVER_MEMORY", "6g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -37,12 +37,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    Only where that setting is absent on a single machine (tests) a temporary folder stands in; on a cluster its lack
+    is an error, since executors would write where the others cannot read.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

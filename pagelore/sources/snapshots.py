@@ -23,9 +23,10 @@ def new_snapshots(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_snapshots(df: DataFrame, path: str) -> None:
-    """Appended under aa/bb folders of the hash; rows of one folder are brought together first."""
+    """Appended under aa/bb folders of the hash; rows of one folder are brought together first, in as many tasks as there
+    are folders."""
     (df.withColumn("aa", F.substring("content_sha256", 1, 2)).withColumn("bb", F.substring("content_sha256", 3, 2))
-     .repartition("aa").write.mode("append").partitionBy("aa", "bb").parquet(path))
+     .repartition("aa", "bb").write.mode("append").partitionBy("aa", "bb").parquet(path))
 
 
 def write_audit(df: DataFrame, path: str) -> None:
