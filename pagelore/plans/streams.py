@@ -39,14 +39,27 @@ def window_counts(t: Inputs):
     return drain_updates(w, "window-counts", ["user_id", "hour"])
 
 
-@query("str_02_sliding_limit")
+@query("str_02_sliding_limit", """
+WITH e AS (SELECT user_id, list({'h': [epoch(ts)], 'o': [{'event_id': event_id, 'allowed': true, 'remaining': 0}]} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+r AS (SELECT user_id, list_reduce(l, lambda acc, x: {'h': CASE WHEN len(list_filter(acc.h, lambda t: t > x.h[1] - 7200)) < 3 THEN list_append(list_filter(acc.h, lambda t: t > x.h[1] - 7200), x.h[1]) ELSE list_filter(acc.h, lambda t: t > x.h[1] - 7200) END,
+  'o': list_append(acc.o, {'event_id': x.o[1].event_id, 'allowed': len(list_filter(acc.h, lambda t: t > x.h[1] - 7200)) < 3,
+    'remaining': 3 - least(3, len(list_filter(acc.h, lambda t: t > x.h[1] - 7200)) + 1)::INTEGER})}, {'h': []::DOUBLE[], 'o': []::STRUCT(event_id BIGINT, allowed BOOLEAN, remaining INTEGER)[]}) AS f FROM e)
+SELECT user_id, o.event_id, o.allowed, o.remaining FROM (SELECT user_id, unnest(f.o) AS o FROM r)""")
 def sliding_limit(t: Inputs):
-    """Three hits per user in two hours, sliding; the tests fold the same rows in plain Python."""
+    """Three hits per user in two hours, sliding."""
     return drain(KD.fold(timed(t), "user_id", KD.sliding_limit(3, 7200.0, "user_id", "event_id"), ["at", "event_id"],
                          "user_id long, event_id long, allowed boolean, remaining int, reset_at double"), "sliding").drop("reset_at")
 
 
-@query("str_03_token_bucket")
+@query("str_03_token_bucket", """
+WITH e AS (SELECT user_id, list({'tokens': 0.0::DOUBLE, 'last': epoch(ts), 'o': [{'event_id': event_id, 'allowed': true, 'wait': 0.0::DOUBLE}]} ORDER BY ts, event_id) AS l, min(epoch(ts)) AS t0 FROM events GROUP BY 1),
+r AS (SELECT user_id, list_reduce(l, lambda acc, x: {
+  'tokens': least(2.0, acc.tokens + (x.last - coalesce(acc.last, x.last)) * (1 / 7200.0::DOUBLE)) - CASE WHEN least(2.0, acc.tokens + (x.last - coalesce(acc.last, x.last)) * (1 / 7200.0::DOUBLE)) >= 1 - 1e-9 THEN 1.0 ELSE 0.0 END, 'last': x.last,
+  'o': list_append(acc.o, {'event_id': x.o[1].event_id, 'allowed': least(2.0, acc.tokens + (x.last - coalesce(acc.last, x.last)) * (1 / 7200.0::DOUBLE)) >= 1 - 1e-9,
+    'wait': CASE WHEN least(2.0, acc.tokens + (x.last - coalesce(acc.last, x.last)) * (1 / 7200.0::DOUBLE)) >= 1 - 1e-9 THEN 0.0
+      ELSE round((1 - least(2.0, acc.tokens + (x.last - coalesce(acc.last, x.last)) * (1 / 7200.0::DOUBLE))) / (1 / 7200.0::DOUBLE), 6) END})},
+  {'tokens': 2.0::DOUBLE, 'last': NULL::DOUBLE, 'o': []::STRUCT(event_id BIGINT, allowed BOOLEAN, wait DOUBLE)[]}) AS f FROM e)
+SELECT user_id, o.event_id, o.allowed, o.wait FROM (SELECT user_id, unnest(f.o) AS o FROM r)""")
 def token_bucket(t: Inputs):
     """Burst of two, one token per two hours."""
     return drain(KD.fold(timed(t), "user_id", KD.token_bucket(2, 1 / 7200.0, "user_id", "event_id"), ["at", "event_id"],
@@ -140,7 +153,12 @@ def usage_metering(t: Inputs):
     return drain_updates(w, "usage", ["user_id", "day", "engine"])
 
 
-@query("str_10_cache_expiry")
+@query("str_10_cache_expiry", """
+WITH e AS (SELECT user_id, list({'exp': epoch(ts), 'o': [{'event_id': event_id, 'status': ''}]} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+r AS (SELECT user_id, list_reduce(l, lambda acc, x: {'exp': CASE WHEN acc.exp IS NULL OR x.exp >= acc.exp THEN x.exp + 21600 ELSE acc.exp END,
+  'o': list_append(acc.o, {'event_id': x.o[1].event_id, 'status': CASE WHEN acc.exp IS NULL THEN 'miss' WHEN x.exp < acc.exp THEN 'hit' ELSE 'expired' END})},
+  {'exp': NULL::DOUBLE, 'o': []::STRUCT(event_id BIGINT, status VARCHAR)[]}) AS f FROM e)
+SELECT user_id, o.event_id, o.status FROM (SELECT user_id, unnest(f.o) AS o FROM r)""")
 def cache_expiry(t: Inputs):
     """Cache accesses by user with a life time of six hours."""
     return drain(KD.fold(timed(t), "user_id", KD.cache_access(21600.0, "user_id", "event_id"), ["at", "event_id"], "user_id long, event_id long, status string"), "cache")
