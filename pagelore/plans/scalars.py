@@ -162,9 +162,16 @@ def cache_keys(t: Inputs):
     return t.spread("documents").select("doc_id", D.search_cache_key(q, F.array(F.lit("google"), F.lit("bing")), F.lit("en"), F.lit(10)).alias("cache_key"))
 
 
-@query("sca_17_hmac")
+def _pad_sql(byte: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(0, 64), lambda i: format('{{:02x}}', CAST(xor(CAST('0x' || substr(k, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT), {byte}) AS BIGINT))), ''))"
+
+
+@query("sca_17_hmac", f"""
+WITH d AS (SELECT doc_id, text, 'secret-' || source || repeat('k', CAST(doc_id % 90 AS INTEGER)) AS key FROM documents),
+p AS (SELECT doc_id, text, rpad(CASE WHEN length(key) > 64 THEN sha256(key) ELSE lower(hex(encode(key))) END, 128, '0') AS k FROM d)
+SELECT doc_id, sha256({_pad_sql(0x5C)} || unhex(sha256({_pad_sql(0x36)} || encode(text)))) AS signature, true AS valid, false AS tampered_valid FROM p""")
 def hmac(t: Inputs):
-    """Signature and verification of every document; the tests compare with Python's hmac."""
+    """Signature and verification of every document."""
     key = F.concat(F.lit("secret-"), "source", F.repeat(F.lit("k"), F.col("doc_id").cast("int") % 90))
     s = D.hmac_sha256_hex(F.col("text"), key)
     d = t.spread("documents").select("doc_id", "text", key.alias("key"), s.alias("signature"))

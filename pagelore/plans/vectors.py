@@ -8,7 +8,7 @@ from ..functions.encoders import hashing_encoder
 from ..operators import vectors as V
 from ..operators.skew import top_per_key
 from .registry import Inputs, query
-from .retrieval import ranked
+from .retrieval import BM25_SQL, ranked
 
 CENT = "cent AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(e) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS e FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
 SCORE = "round((list_cosine_similarity(q, embedding::DOUBLE[]) + 1) / 2, 6)"
@@ -49,7 +49,16 @@ def similar_items(t: Inputs):
     return V.search(corpus(t), q, 5, exclude_self=True)
 
 
-@query("vec_04_neural_rerank")
+def _encode_sql(table: str, key: str) -> str:
+    return f"""SELECT {key}, list_transform(range(0, 64), lambda i: coalesce(m[i], 0)) AS raw FROM (SELECT {key}, map_from_entries(list((slot, v))) AS m FROM (
+  SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v
+  FROM (SELECT {key}, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM {table}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("vec_04_neural_rerank", f"""
+WITH {BM25_SQL}, qv AS ({_encode_sql('benchmark', 'item_id')}), dv AS ({_encode_sql('documents', 'doc_id')}),
+u AS (SELECT item_id, doc_id, round(list_cosine_similarity(qv.raw::DOUBLE[], dv.raw::DOUBLE[]), 5) AS similarity FROM hits JOIN qv USING (item_id) JOIN dv USING (doc_id) WHERE hits.rank <= 20)
+SELECT item_id, doc_id, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM u) WHERE rank <= 10""")
 def neural_rerank(t: Inputs):
     """BM25 candidates, twice the wanted number, reordered by cosine of encoded texts."""
     q = t.benchmark.select("item_id", hashing_encoder(F.col("text")).alias("qv"))
