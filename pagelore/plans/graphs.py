@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import pages as P
 from ..operators import vectors as V
+from ..operators.skew import numbered
 from . import derived
 from .aggregates import LINK_SQL, page_links
 from .derived import EDGE_SQL, ENTITY_SQL
@@ -87,7 +88,8 @@ def best_first(t: Inputs):
 @query("gra_06_depth_first")
 def depth_first(t: Inputs):
     from pyspark.sql import Window
-    e = derived.edges(t).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    # children of a hub are numbered in slices by the front of their name
+    e = numbered(derived.edges(t), ["src"], F.substring("dst", 1, 3), [F.col("dst")], "ord")
     s = seeds(t).withColumn("ord", F.row_number().over(Window.orderBy("node")))  # a few seeds, numbered
     return G.depth_first(e, s, 3).select("node", F.array_join("path", ".").alias("path"))
 

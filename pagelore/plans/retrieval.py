@@ -56,7 +56,7 @@ def bm25_corpus(t: Inputs):
     return ranked(t, 10).join(t.spread("documents").select("doc_id", F.sha2("text", 256).alias("content_sha256")), "doc_id").select("item_id", "doc_id", "score", "rank", "content_sha256")
 
 
-INSIDE_SQL = f"""q AS (SELECT doc_id, b.text AS query FROM documents d JOIN benchmark b ON b.item_id = CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT)),
+INSIDE_SQL = f"""q AS (SELECT doc_id, b.text AS query FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents JOIN q USING (doc_id)),
 bt AS (SELECT doc_id, i, {toks_sql('line')} AS w FROM l), p0 AS (SELECT doc_id, i, len(w) AS dl, unnest(w) AS tok FROM bt), p AS (SELECT doc_id, i, tok, count(*) AS tf, any_value(dl) AS dl FROM p0 GROUP BY 1, 2, 3),
 st AS (SELECT doc_id, count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, i, dl FROM p) GROUP BY 1),
@@ -67,9 +67,14 @@ s0 AS (SELECT p.doc_id, p.i, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM s0 WHERE score >= 1.0) WHERE rank <= 10)"""
 
 
+def query_of(t: Inputs):
+    """The benchmark text each document is asked: every document has one, and all texts are asked in turn."""
+    return F.col("doc_id") % t.benchmark.agg(F.count(F.lit(1))).scalar()
+
+
 def lines_with_query(t: Inputs):
     q = t.benchmark.select(F.col("item_id").alias("_q"), F.col("text").alias("query"))
-    d = t.spread("documents").withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
+    d = t.spread("documents").withColumn("_q", query_of(t)).join(q, "_q")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines, d.select("doc_id", F.explode(R.query_tokens(F.col("query"))).alias("tok"))
 
@@ -265,13 +270,13 @@ def highlights(t: Inputs):
 
 
 @query("ret_14_overlap_filter", f"""
-WITH q AS (SELECT doc_id, list_distinct({toks_sql('b.text')}) AS qt FROM documents d JOIN benchmark b ON b.item_id = CAST(regexp_extract(d.source, '(\\d+)$', 1) AS BIGINT)),
+WITH q AS (SELECT doc_id, list_distinct({toks_sql('b.text')}) AS qt FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT doc_id, i, round(len(list_intersect(qt, list_distinct({toks_sql('line')}))) / greatest(len(qt), 1), 6) AS share FROM l JOIN q USING (doc_id)) SELECT doc_id, i::INT AS i, share FROM s WHERE share >= 0.1""")
 def overlap_filter(t: Inputs):
     """Lines whose share of the query words reaches the threshold (0.1 here; the default is 0.7)."""
     q = t.benchmark.select(F.col("item_id").alias("_q"), F.array_distinct(R.query_tokens(F.col("text"))).alias("qt"))
-    d = t.spread("documents").withColumn("_q", F.regexp_extract("source", r"(\d+)$", 1).cast("long")).join(q, "_q")
+    d = t.spread("documents").withColumn("_q", query_of(t)).join(q, "_q")
     l = d.select("doc_id", "qt", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     share = F.size(F.array_intersect("qt", R.query_tokens(F.col("line")))) / F.greatest(F.size("qt"), F.lit(1))
     return l.select("doc_id", "i", F.round(share, 6).alias("share")).where("share >= 0.1")

@@ -17,18 +17,17 @@ LAYOUTS = {
 
 
 def normalize_payloads(df: DataFrame) -> DataFrame:
-    """(id, provider, layout, payload) -> one row per hit: title, url, description, engine, score."""
-    out = None
-    for layout, (lst, url, text, score) in LAYOUTS.items():
+    """(id, provider, layout, payload) -> one row per hit: title, url, description, engine, score. The input is read once."""
+    def hits(lst: str, url: str, text: str, score: str | None) -> Column:
         fields = f"title string, {url} string, {text} string" + (f", {score} double" if score else "")
-        part = (df.where(F.col("layout") == layout)
-                .select("id", "provider", F.from_json("payload", f"{lst} array<struct<{fields}>>")[lst].alias("h"))
-                .select("id", "provider", F.posexplode("h").alias("pos", "h"))
-                .select("id", "pos", F.col("h.title").alias("title"), F.col(f"h.{url}").alias("url"),
-                        F.col(f"h.{text}").alias("description"), F.col("provider").alias("engine"),
-                        (F.col(f"h.{score}") if score else F.lit(0.0)).alias("score")))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return F.transform(F.from_json("payload", f"{lst} array<struct<{fields}>>")[lst], lambda h: F.struct(
+            h["title"].alias("title"), h[url].alias("url"), h[text].alias("description"), (h[score] if score else F.lit(0.0)).alias("score")))
+
+    found = F.lit(None)
+    for layout, parts in LAYOUTS.items():
+        found = F.when(F.col("layout") == layout, hits(*parts)).otherwise(found)
+    return (df.select("id", "provider", F.posexplode(found).alias("pos", "h"))
+            .select("id", "pos", "h.title", "h.url", "h.description", F.col("provider").alias("engine"), "h.score"))
 
 
 def parse_hits(hits: Column, query: Column) -> Column:
