@@ -64,7 +64,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op7_url_filters")
+@query("op7_url_filters", url_templates.sql())
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's address; labels come from the document whose number the address ends in."""
     pages = table(spark, folder, "pages")
@@ -72,7 +72,7 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     known = pages.select("url", F.nullif(number, F.lit("")).cast("long").alias("doc_id")).where("doc_id is not null")
     quality = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
     j = url_templates.judge(pages, known.join(quality, "doc_id").select("url", "label"))
-    return j.select("page_id", "host", "path", "rule", "verdict")
+    return j.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
 
 
 @query("op10_quality_classifier")

@@ -110,3 +110,38 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, reject: float = 0.6,
     j = rows.join(tree.select(F.col("key").alias("url"), "template", "purity"), "url")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return j.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+
+
+def _level_sql(k: int) -> str:
+    bound = "sqrt(0.5 * ln(2 / 0.05))"
+    return rf"""
+a{k} AS (SELECT *, s[{k + 1}] AS segment, count(*) OVER (PARTITION BY host, template) AS total FROM r{k}),
+c{k} AS (SELECT host, template, segment, count(*) AS n, count(label) AS labels, (coalesce(sum(label), 0) + 2 * any_value(purity)) / (count(label) + 2) AS rate
+  FROM a{k} WHERE segment IS NOT NULL GROUP BY host, template, segment HAVING count(*) >= 20 AND count(*) >= 0.01 * any_value(total)),
+d{k} AS (SELECT *, rate - lag(rate) OVER w > {bound} * (1 / sqrt(greatest(labels, 1)) + 1 / sqrt(greatest(lag(labels) OVER w, 1))) AS apart
+  FROM c{k} WINDOW w AS (PARTITION BY host, template ORDER BY rate, segment)),
+g{k} AS (SELECT *, sum(CASE WHEN apart IS NULL OR apart THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY rate, segment) AS part FROM d{k}),
+b{k} AS (SELECT host, template, segment, CASE WHEN count(*) OVER p > 1 THEN '{{' || min(segment) OVER p || '+' || (count(*) OVER p - 1) || '}}' ELSE segment END AS branch
+  FROM g{k} WINDOW p AS (PARTITION BY host, template, part)),
+n{k} AS (SELECT a.*, CASE WHEN a.segment IS NULL THEN a.template ELSE a.template || '/' || coalesce(branch, CASE WHEN regexp_matches(a.segment, '^[0-9]+$') THEN '{{n}}'
+  WHEN regexp_matches(a.segment, '^[0-9]+\.[A-Za-z0-9]+$') THEN '{{n}}.' || regexp_extract(a.segment, '\.([A-Za-z0-9]+)$', 1) WHEN regexp_matches(a.segment, '[0-9]') THEN '{{id}}' WHEN a.segment = '' THEN '' ELSE '{{w}}' END) END AS nxt
+  FROM a{k} a LEFT JOIN b{k} b ON a.host = b.host AND a.template = b.template AND a.segment = b.segment),
+r{k + 1} AS (SELECT url, host, s, label, nxt AS template, CASE WHEN segment IS NULL THEN purity
+  ELSE (coalesce(sum(label) OVER q, 0) + 2 * purity) / (count(label) OVER q + 2) END AS purity FROM n{k} WINDOW q AS (PARTITION BY host, nxt))"""
+
+
+def sql(levels: int = 6) -> str:
+    """The verdicts with `RULES`, the levels written one after another: right for paths of at most `levels` segments."""
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}|{v}'"
+                     for v, h, p in sorted(RULES, key=lambda r: (-r[1].count("."), -len(r[1]), -len(r[2]))))
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+y AS (SELECT url, (avg(1 - quality) > 0.5)::INTEGER AS label FROM (SELECT url, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[A-Za-z]+|/)?$', 1) AS BIGINT) AS doc_id FROM p) JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY url),
+u AS (SELECT url, host, string_split(regexp_replace(path, '^/', ''), '/') AS s, label FROM (SELECT DISTINCT url, host, path FROM p) LEFT JOIN y USING (url)),
+z AS (SELECT coalesce(sum(label) / count(label), 0) AS base FROM u),
+r0 AS (SELECT url, host, s, label, '' AS template, (coalesce(sum(label) OVER h, 0) + 2 * base) / (count(label) OVER h + 2) AS purity FROM u, z WINDOW h AS (PARTITION BY host)),
+{",".join(_level_sql(k) for k in range(levels))},
+v AS (SELECT p.page_id, p.host, p.path, CASE {rules} END AS hit FROM p)
+SELECT v.page_id, v.host, v.path, split_part(hit, '|', 1) AS rule, coalesce(split_part(hit, '|', 2), CASE WHEN purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(round(purity, 9) AS DOUBLE) AS purity
+FROM v JOIN p USING (page_id) JOIN r{levels} r ON p.url = r.url"""
