@@ -33,13 +33,13 @@ def test_elias_fano(values):
 
 
 TEXTS = ["", " ", "a", " a", "a ", "a  b", "a\nb c", "a \n b", "it's we'll", "x\u00a0y z", "\u2003 q", "tab\there is", "<|endoftext|> a b", "é à ü ñ", "\U0001f600 \U0001f600", "a\x1c b", "\x1c\x1c a",
-         "    lead", "trail    ", "1 2 3 44 555", "a\r\n\r\nb c  d", "\n\n", "x" * 3000, "don't stop 'now' now"]
+         "    lead", "trail    ", "1 2 3 44 555", "a\r\n\r\nb c  d", "\n\n", "x" * 3000, "don't stop 'now' now", "a b.\nC d,\ne.\nF\n\nG h\n. i\n, j", "x foo\nbar.\nBaz! q foo\nbar."]
 
 
 def test_encoder():
     t, e = Tokenizer.from_file(VOCABULARY), token_output.Encoder(VOCABULARY, room=20)
     rng = random.Random(2)
-    mixed = ["".join(rng.choice(["a", " ", "  ", "\n", "é", "'s", "9", "the", "\u2009", "!", "\t"]) for _ in range(40)) for _ in range(400)]
+    mixed = ["".join(rng.choice(["a", " ", " ", "  ", "\n", "é", "'s", "9", "the", "\u2009", "!", "\t", ".", ",", "\r"]) for _ in range(40)) for _ in range(400)]
     for k in range(0, len(mixed), 7):
         some = TEXTS + mixed[k:k + 7]
         for text, got in zip(some, e.encode(some), strict=True):
