@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagelore.llm import decontamination, factorisation, html_template, simhash, token_output
+from pagelore.llm import decontamination, factorisation, html_template, shingle_overlap, simhash, token_output
 from pagelore.llm.eliasfano import EliasFano
 from pagelore.session import scratch_path
 
@@ -278,3 +278,53 @@ def test_pipeline(spark):
     five = tokens(spark, four, FOLDER).collect()
     assert sorted(r.doc_id for r in five) == sorted(r.doc_id for r in four.select("doc_id").collect())
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
+
+
+def jaccard_components(texts, width=5):
+    """Links of every pair of distinct texts whose shingles overlap by 0.8, by brute force."""
+    def of(x):
+        w = (x or "").encode().lower().split()
+        return frozenset(b" ".join(w[k:k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+    sets, ids = {i: of(x) for i, x in texts.items()}, sorted(texts)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            x, y = sets[a], sets[b]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("hot", "block"), [(64, 256), (2, 2)])
+def test_pipeline_removes_overlaps_of_four_fifths(spark, monkeypatch, hot, block):
+    """The stage keeps what brute-force Jaccard keeps: copies many bits apart go, texts below 0.8 stay."""
+    monkeypatch.setattr(shingle_overlap, "HOT", hot)
+    monkeypatch.setattr(shingle_overlap, "BLOCK", block)
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(4)]
+    passage = [f"p{k}" for k in range(30)]
+    texts = ["", None, " \n", "One two", "one TWO", "x"]
+    for _ in range(60):  # copies around the threshold, chains, and a passage that all quote
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(w + passage * rng.randrange(2)))
+    texts += [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]) for _ in range(30)]
+    extra = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    d = d.unionByName(extra, allowMissingColumns=True)
+    rows = {r.doc_id: r.text for r in d.collect()}
+    want = jaccard_components(rows)
+    assert 30 < sum(i != c for i, c in want.items()) < 90
+    assert {r.doc_id: r.component_id for r in shingle_overlap.near_duplicates(d).collect()} == want
+    got = corpus_pipeline.STAGES[1][1](spark, d, FOLDER)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+    assert shingle_overlap.near_duplicates(d.limit(0)).count() == 0
