@@ -328,3 +328,12 @@ def test_pipeline_removes_overlaps_of_four_fifths(spark, monkeypatch, hot, block
     got = corpus_pipeline.STAGES[1][1](spark, d, FOLDER)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
     assert shingle_overlap.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_pipeline_judges_texts_of_one_id_apart(spark):
+    """An id with two texts, one a copy of a smaller id's: the other text stays, once; ids that name two groups keep both."""
+    t = {k: " ".join(f"{k}{i}" for i in range(20)) for k in "abcd"}
+    rows = [(1, t["a"]), (2, t["a"]), (2, t["b"]), (2, t["b"]), (3, t["c"]), (3, t["d"]), (4, t["c"]), (5, t["d"]), (None, t["a"]), (None, None)]
+    got = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    want = [(1, t["a"]), (2, t["b"]), (3, t["c"]), (3, t["d"]), (None, t["a"]), (None, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
