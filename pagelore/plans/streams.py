@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators.skew import numbered
 from ..streaming import keyed as KD
-from ..streaming.runner import drain, drain_batches, drain_updates, read_stream
+from ..streaming.runner import drain, drain_batches, drain_updates, read_stream, use_rocksdb
 from .registry import Inputs, query
 
 K = "CAST(json_extract(props, '$.k') AS INT)"
@@ -73,12 +73,13 @@ MONITORS = {"spanish": ["/es/"], "feeds": ["utm_source"], "spam": ["spam", "pill
 WITH p AS (SELECT url, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '')) AS norm FROM pages)
 SELECT DISTINCT monitor, norm AS url FROM p, (SELECT unnest(['spanish','feeds','spam']) AS monitor) WHERE (monitor = 'spanish' AND contains(url, '/es/')) OR (monitor = 'feeds' AND contains(url, 'utm_source')) OR (monitor = 'spam' AND (contains(url, 'spam') OR contains(url, 'pills')))""")
 def topic_monitor(t: Inputs):
-    """Monitors match the page stream; only addresses not among the last thousand seen raise an alert."""
+    """Monitors match the page stream; only addresses a monitor has never seen raise an alert, one state row per monitor and address."""
     p = read_stream(t.spark, t.path("pages"), t.pages)
     hit = F.array_compact(F.array(*[F.when(U.any_in(w, F.col("url")), F.lit(m)) for m, w in MONITORS.items()]))
     norm = F.lower(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", ""))
-    m = p.select("page_id", norm.alias("url"), F.explode(hit).alias("monitor"))
-    return drain(KD.fold(m, "monitor", KD.unseen(1000, "monitor", "url"), ["page_id"], "monitor string, url string"), "monitor")
+    m = p.select(F.explode(hit).alias("monitor"), norm.alias("url"))
+    use_rocksdb(t.spark)
+    return drain(m.dropDuplicates(["monitor", "url"]), "monitor")
 
 
 @query("str_05_metrics_tumbling", """

@@ -402,3 +402,14 @@ def test_sliding_limit_stream(spark):
         rows = [{"user_id": r.user_id, "event_id": r.event_id, "at": r.ts.timestamp()} for r in g.itertuples()]
         for x in fold(KD.sliding_limit(3, 7200.0, "user_id", "event_id"), rows):
             assert got[x[1]] == x[2]
+
+
+def test_topic_monitor_never_forgets(spark, tmp_path):
+    """An address comes back after 1100 others of its monitor: no second alert."""
+    from pagelore.plans import streams
+    from pagelore.plans.registry import Inputs
+
+    urls = [f"http://h/es/{k}" for k in range(1101)] + ["http://h/es/0?x=1", "http://h/es/0/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.monitor, r.url) for r in streams.topic_monitor(Inputs(spark, str(tmp_path))).collect()]
+    assert sorted(got) == sorted(("spanish", f"http://h/es/{k}") for k in range(1101))
