@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10, each over its whole table with production parameters."""
+"""The registered queries op1 to op13, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, factorisation, html_template, mixing, pii, quality_rules, simhash, token_output, url_templates, warc_archive
+from . import conversations, decontamination, factorisation, html_template, mixing, pii, quality_rules, simhash, token_output, toxicity, url_templates, warc_archive, whitening
 from .registry import query, table
 
 
@@ -79,3 +79,21 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     return factorisation.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document, with its nearest labelled examples."""
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the sixteen first whitened components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_conversation_repair", conversations.SQL)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    return conversations.repair(table(spark, folder, "conversations"))
