@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dom
 from ..functions import scoring as S
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators import adaptive as A
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import joins as J
@@ -96,13 +98,14 @@ def depth_first(t: Inputs):
 
 @query("gra_07_adaptive_crawl")
 def adaptive_crawl(t: Inputs):
-    """Adaptive crawls over the page links: addresses scored for the query, best first, until no pending address reaches
-    the least score (saturation) or a crawl has its 25 pages."""
+    """One adaptive crawl per host over the page links: best address first, ended by saturation, confidence, quality or 20 pages."""
     q = X.clean_tokens(X.words(F.lit("thanedble attion guide")))
     links = page_links(t)
-    e = links.select(F.col("url").alias("src"), F.col("link").alias("dst"), F.round(S.crawl_score(F.col("link"), q), 6).alias("score")).groupBy("src", "dst").agg(F.max("score").alias("score"))
-    s = t.pages.select(U.host(F.col("url")).alias("crawl"), F.col("url").alias("node"))
-    return G.best_first(e, s, batch=5, max_pages=25, saturation=0.3)
+    e = links.select(F.col("url").alias("src"), F.col("link").alias("dst"), F.round(S.crawl_score(F.col("link"), q), 6).alias("score"))
+    p = dom.parsed_pages(t).select(F.col("url").alias("node"), F.array_distinct(X.text_tokens(F.lower("body_text"))).alias("terms"),
+                                   (F.least(F.length("body_text"), F.lit(5000)) / 5000).alias("quality"))
+    s = t.pages.select(U.host(F.col("url")).alias("crawl"), F.col("url").alias("node"), q.alias("query"))
+    return A.adaptive_crawl(p, e, s, batch=5)
 
 
 @query("gra_08_website_map", f"""

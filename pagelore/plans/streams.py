@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators.skew import numbered
 from ..streaming import keyed as KD
+from ..streaming import tables as ST
+from ..streaming import timers as TM
 from ..streaming.runner import drain, drain_batches, drain_updates, read_stream, use_rocksdb
 from .registry import Inputs, query
 
@@ -30,6 +32,15 @@ def fixed_window(t: Inputs):
     return numbered(e, ["user_id", "hour"], F.date_trunc("minute", "ts"), [F.col("ts"), F.col("event_id")]).select("event_id", (F.col("rn") <= 2).alias("allowed"))
 
 
+@query("str_01_stream_verdicts", """
+SELECT event_id, row_number() OVER w <= 2 AS allowed, greatest(2 - row_number() OVER w, 0)::INT AS remaining FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id)""")
+def stream_verdicts(t: Inputs):
+    """The same limit as a stream, a verdict per hit from the counts of earlier batches."""
+    hits = events(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("double").alias("at"))
+    verdicts, _ = ST.window_limit(hits, 2, 3600)
+    return verdicts.select(F.col("id").alias("event_id"), "allowed", "remaining")
+
+
 @query("str_01_window_counts", """
 SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS hits, greatest(count(*) - 2, 0)::BIGINT AS denied FROM events GROUP BY 1, 2""")
 def window_counts(t: Inputs):
@@ -82,6 +93,34 @@ def topic_monitor(t: Inputs):
     return drain(m.dropDuplicates(["monitor", "url"]), "monitor")
 
 
+TOPICS = ["/es/", "/fr/", "/de/", "utm_source", "spam", "pills", ".html", "page="]
+
+
+@query("str_04_monitor_cycle", f"""
+WITH n AS (SELECT n_name AS monitor, n_nationkey AS k, n_nationkey * 300.0::DOUBLE AS t0, (5 + n_nationkey % 7)::DOUBLE AS minutes FROM nation),
+c AS (SELECT monitor, k, minutes, t0 AS tm, true AS active FROM n UNION ALL SELECT monitor, k, minutes, t0 + 3600, false FROM n WHERE k % 3 > 0 UNION ALL SELECT monitor, k, minutes, t0 + 9000, true FROM n WHERE k % 3 = 1),
+s AS (SELECT *, lead(tm) OVER (PARTITION BY monitor ORDER BY tm) AS until, min(tm) OVER (PARTITION BY monitor) AS listed FROM c),
+p AS (SELECT url, page_id * 60.0::DOUBLE AS tm, regexp_extract(url, '^[a-z]+://[^/?#]*?([a-z]+)(?:[/?#]|$)', 1) AS source FROM pages),
+e AS (SELECT greatest((SELECT max(tm) FROM c), (SELECT max(tm) FROM p)) AS clock),
+m AS (SELECT monitor, url, ceil(greatest(p.tm, s.tm) / (minutes * 60)) * (minutes * 60) AS detected_at, until FROM s JOIN p ON contains(url, {TOPICS}[(k % 8 + 1)::INT]) AND (k % 4 = 0 OR source = ['com', 'net', 'org'][(k % 3 + 1)::INT]) AND p.tm >= listed WHERE active)
+SELECT monitor, url, min(detected_at) AS detected_at FROM m, e WHERE detected_at < coalesce(until, 1e300) AND detected_at <= clock GROUP BY 1, 2""")
+def monitor_cycle(t: Inputs):
+    """A monitor per nation that begins, pauses and resumes while pages come in; the first check of its interval tells of a page."""
+    k = F.col("n_nationkey")
+    begin = (k * 300).cast("double")
+    word = F.element_at(F.array(*[F.lit(w) for w in TOPICS]), (k % 8 + 1).cast("int"))
+    source = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (k % 3 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    steps = F.array_compact(F.array(F.struct(begin.alias("at"), F.lit(True).alias("active")), F.when(k % 3 > 0, F.struct((begin + 3600).alias("at"), F.lit(False).alias("active"))),
+                                    F.when(k % 3 == 1, F.struct((begin + 9000).alias("at"), F.lit(True).alias("active")))))
+    n = read_stream(t.spark, t.path("nation"), t.nation).select(F.col("n_name").alias("monitor"), F.explode(steps).alias("c"), F.array(word).alias("words"), F.when(k % 4 == 0, none).otherwise(F.array(source)).alias("sources"), (5 + k % 7).cast("double").alias("minutes"))
+    changes = n.select("monitor", "c.at", "words", "sources", "minutes", "c.active", *[F.lit(None).cast("string").alias(c) for c in ("url", "text", "source")])
+    p = read_stream(t.spark, t.path("pages"), t.pages).select(F.lit(None).cast("string").alias("monitor"), (F.col("page_id") * 60).cast("double").alias("at"), F.lit(None).cast("array<string>").alias("words"),
+                                                              F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("double").alias("minutes"), F.lit(None).cast("boolean").alias("active"), "url",
+                                                              F.col("url").alias("text"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*?([a-z]+)(?:[/?#]|$)", 1).alias("source"))
+    return ST.topic_monitors(changes.unionByName(p)).drop("batch")
+
+
 @query("str_05_metrics_tumbling", """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(avg(value), 6) AS avg_ms, count(*) FILTER (value < 10) AS fast FROM events GROUP BY 1, 2""")
 def metrics_tumbling(t: Inputs):
@@ -103,14 +142,17 @@ def metrics_sliding(t: Inputs):
 
 @query("str_06_sessions", """
 WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g), a AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n, count(DISTINCT event_type) AS kinds FROM s GROUP BY user_id, sid)
-SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_seen, n FROM a WHERE b + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g), a AS (SELECT user_id, sid, min(ts) AS a, max(ts) AS b, count(*) AS n FROM s GROUP BY user_id, sid),
+c AS (SELECT user_id, sid, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS context FROM (SELECT user_id, sid, event_type, arg_max(event_id, {'a': ts, 'b': event_id}) AS v FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_seen, n, b + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AS closed, context FROM a JOIN c USING (user_id, sid)""")
 def sessions(t: Inputs):
-    """Sessions end after six idle hours; those still open at the end of the input are not emitted."""
-    s = (events(t).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "6 hours").alias("w"))
-         .agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
-         .select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("b", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "n"))
-    return drain(s, "sessions")
+    """Sessions end after six idle hours; their context is the last event of every type. Those still open at the end are told too."""
+    hits = events(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("double").alias("at"), F.create_map("event_type", F.col("event_id").cast("string")).alias("patch"))
+    closed, open_ = ST.sessions(hits, 6 * 3600.0)
+    s = closed.withColumn("closed", F.lit(True)).unionByName(open_.withColumn("closed", F.lit(False)))
+    time = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+    pairs = F.transform(F.array_sort(F.map_entries("context")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return s.select(F.col("key").cast("long").alias("user_id"), time("started"), time("last_seen"), F.col("hits").alias("n"), "closed", F.array_join(pairs, ",").alias("context"))
 
 
 @query("str_07_task_routing", f"""
@@ -134,6 +176,41 @@ def task_routing(t: Inputs):
     return r.groupBy(F.col("type").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum("retry_seconds").alias("retry_seconds"))
 
 
+def delivered(kind: str, body: str, attempt: int) -> bool:
+    """How the messages of this query fare: a web hook succeeds from the attempt that its number asks for."""
+    return kind != "webhook.deliver" or attempt >= int(body) % 7 + 1
+
+
+@query("str_07_retries", f"""
+WITH RECURSIVE m AS (SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'scrape' WHEN 'view' THEN 'research' WHEN 'purchase' THEN 'embed' WHEN 'signup' THEN 'monitor.check' ELSE 'webhook.deliver' END AS type, {K} % 8 AS attempt, epoch(ts) AS tm FROM events),
+r AS (SELECT id, type, attempt, tm, 0.0::DOUBLE AS waited FROM m
+  UNION ALL SELECT id, type, attempt + 1, tm + least(3600, 30 * 2 ** attempt), waited + least(3600, 30 * 2 ** attempt) FROM r
+  WHERE type = 'webhook.deliver' AND attempt < id % 7 + 1 AND attempt < 5 AND tm + least(3600, 30 * 2 ** attempt) <= (SELECT max(epoch(ts)) - 3600 FROM events)),
+f AS (SELECT id, type, max(attempt) AS attempt, max(waited) AS waited FROM r GROUP BY 1, 2)
+SELECT id AS event_id, type, attempt::INT AS attempt, waited, CASE WHEN type <> 'webhook.deliver' OR attempt >= id % 7 + 1 THEN 'done' WHEN attempt >= 5 THEN 'dead' ELSE 'waiting' END AS outcome FROM f""")
+def retries(t: Inputs):
+    """Messages that come twice and are handled once; failed web hooks come back by timers, up to the fifth attempt, and then are dead letters."""
+    kind = F.create_map(*[F.lit(x) for x in ("click", "scrape", "view", "research", "purchase", "embed", "signup", "monitor.check", "error", "webhook.deliver")])
+    m = events(t).select(F.col("event_id").alias("id"), kind[F.col("event_type")].alias("type"), F.col("event_id").cast("string").alias("body"), (F.get_json_object("props", "$.k").cast("int") % 8).alias("attempt"), "ts")
+    twice = m.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    last = drain_updates(TM.retried(twice, delivered, "1 hour"), "retries", ["id"], F.col("turn"))
+    return last.select(F.col("id").alias("event_id"), "type", "attempt", "waited", "outcome")
+
+
+@query("str_08_delivery_stream", """
+WITH e AS (SELECT user_id * 100 + day(ts) AS delivery_id, epoch(ts) AS tm, event_id, event_type FROM events),
+a AS (SELECT *, row_number() OVER w AS n, lead(tm) OVER w AS nxt, event_type IN ('purchase', 'view') AS ok FROM e WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY delivery_id ORDER BY tm, event_id)),
+f AS (SELECT delivery_id, count(*) AS n, coalesce(min(n) FILTER (ok), 1000000) AS won,
+      coalesce(min(n) FILTER (NOT ok AND n < 3 AND coalesce(nxt, (SELECT max(epoch(ts)) - 3600 FROM events)) > tm + 600 * 2 ** (n - 1) + 3600), 1000000) AS gave_up FROM a GROUP BY 1)
+SELECT DISTINCT e.delivery_id::BIGINT AS delivery_id, CASE WHEN f.n IS NULL THEN 'PENDING' WHEN won <= 3 AND won <= gave_up THEN 'SENT' WHEN gave_up <= 3 OR f.n >= 3 THEN 'ABANDONED' ELSE 'FAILED' END AS state,
+  coalesce(CASE WHEN won <= 3 AND won <= gave_up THEN won ELSE least(gave_up, coalesce(f.n, 0), 3) END, 0)::INT AS attempts FROM e LEFT JOIN f USING (delivery_id)""")
+def delivery_stream(t: Inputs):
+    """Deliveries as a stream: announced, sent, failed, and abandoned after three failures or when the timer of a retry runs out."""
+    a = events(t).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("delivery_id"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") != "signup", F.col("event_type").isin("purchase", "view")).alias("ok"))
+    last = drain_updates(TM.deliveries(a, "1 hour", delay=600.0, grace=3600.0), "deliveries", ["delivery_id"], F.col("turn"))
+    return last.select("delivery_id", "state", "attempts")
+
+
 @query("str_08_delivery_states", """
 WITH a AS (SELECT user_id * 100 + day(ts) AS delivery_id, event_type IN ('purchase','view') AS ok, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS attempt FROM events),
 f AS (SELECT delivery_id, min(attempt) FILTER (ok) AS won, count(*) AS n FROM a GROUP BY 1)

@@ -58,6 +58,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagelore/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of one's own that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage through a written Parquet table, so that a lost executor costs one stage only."""
     spark = df.sparkSession
@@ -69,6 +81,31 @@ def write_and_read(df: DataFrame, name: str, partition_by: tuple[str, ...] = ())
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+class Scratch:
+    """Intermediate tables that are deleted together once their reader has written its own result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths.clear()
+
+
 def table_once(spark: SparkSession, scope: str, name: str, make) -> DataFrame:
     """Build a shared intermediate (parsed pages, postings) once per application and input folder."""
     key = (spark.sparkContext.applicationId, scope, name)
