@@ -144,17 +144,17 @@ class Matcher:
             return []
         best: dict[int, tuple[int, int, int, int | None]] = {}
         done: set[tuple[int, int, int]] = set()
-        spans: dict[int, list[tuple[int, int]]] = {}
+        exact: set[tuple[int, int]] = set()
         for last, (size, held) in self.search.iter(text):
             at = last + 1 - size
             for item, leaf in held:
                 key = id(item)
-                # hits inside an occurrence that is verified already, at its own place in the item
-                if any(abs(at - leaf.at - s) <= slack for s, slack in spans.get(key, ())):
+                if (key, at - leaf.at) in exact:  # a piece of an occurrence without edits
                     continue
                 found = item.verify(text, at, leaf)
                 if found is not None:
-                    spans.setdefault(key, []).append((found[1], found[0]))
+                    if not found[0]:
+                        exact.add((key, found[1]))
                     if (key, *found[:2]) not in done:
                         done.add((key, *found[:2]))
                         old = best.get(key)

@@ -2,13 +2,14 @@
 
 A value is cut into `l` low bits, stored as they are, and a high part, stored as one set bit at place
 high(i) + i of a bit array: about 2 + log2(u / n) bits a value. `select(i)` finds the i-th set bit with a
-directory of one 32-bit place per 256 set bits and byte counts between them; no table of 64-bit offsets is
-kept or built.
+directory of one 32-bit place per 256 set bits and byte counts between them, `steps()` goes on from one directory
+place to the next; no table of 64-bit offsets is kept or built.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -82,11 +83,23 @@ class EliasFano:
                 left -= 1
         raise ValueError("damaged high part")
 
+    def steps(self) -> Iterator[np.ndarray]:
+        """All values in order, those of one directory step at a time: a select cursor that never holds the whole sequence."""
+        for i in range(0, self.n, _STEP):
+            k = i // _STEP
+            n = min(_STEP, self.n - i)
+            first = int(self.places[k])
+            last = int(self.places[k + 1]) if k + 1 < len(self.places) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[first >> 3:(last + 7) >> 3], bitorder="little")
+            bits[:first & 7] = 0
+            ones = np.flatnonzero(bits)[:n] + (first & ~7)
+            v = (ones - np.arange(i, i + n)).astype(np.uint64) << np.uint64(self.low_bits)
+            if self.low_bits:
+                at = i * self.low_bits
+                low = np.unpackbits(self.low[at >> 3:(at + n * self.low_bits + 7) >> 3], bitorder="little")[at & 7:(at & 7) + n * self.low_bits]
+                v |= (low.reshape(n, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            yield v
+
     def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        v = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            v |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return v
+        """All values as one array."""
+        return np.concatenate([np.zeros(0, np.uint64), *self.steps()])

@@ -11,7 +11,7 @@ is joined to the documents is one row per source, without a hint.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; sources without words get target
 0; rows equal in id and text are taken together; a null id is hashed as an empty string; an empty table gives no
-rows; other columns pass through `mixed` and may bear any name but `repeats`.
+rows; other columns pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import write_and_read
+from ..session import Scratch, free_name, write_and_read
 
 WEIGHTS = (3, 1, 2)
 PREFIX_STEPS = (2, 4, 6, 8)
@@ -82,11 +82,13 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     return write_and_read(t.join(cut, t.source.eqNullSafe(cut.s), "left").select("source", "source_size", "target", "whole", "upto"), "plan")
 
 
-def _repeats(rows: DataFrame, plan_: DataFrame, key: Column) -> tuple[DataFrame, Column]:
-    p = plan_.select(F.struct("source", "source_size", "target", "whole", "upto").alias("_plan"))
-    j = rows.join(p, rows["source"].eqNullSafe(F.col("_plan.source")))
-    more = F.when(key <= F.col("_plan.upto"), 1).otherwise(0)
-    return j, F.col("_plan.whole") + more
+def _repeats(rows: DataFrame, plan_: DataFrame, key: Column) -> tuple[DataFrame, str, Column]:
+    """Rows with the plan of their source in a column of a free name, that name, and how often a row is taken."""
+    name = free_name(rows, "plan")
+    p = plan_.select(F.struct("source", "source_size", "target", "whole", "upto").alias(name))
+    j = rows.join(p, rows["source"].eqNullSafe(p[name]["source"]))
+    more = F.when(key <= p[name]["upto"], 1).otherwise(0)
+    return j, name, p[name]["whole"] + more
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -96,17 +98,20 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 def mix_report(docs: DataFrame, seed: int = 0, **shares) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, repeats) of every document."""
     rows = write_and_read(_sized(docs, seed), "sized")
-    j, repeats = _repeats(rows, plan(rows, **shares), F.col("key"))
-    return j.select("doc_id", "size", F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"),
+    j, name, repeats = _repeats(rows, plan(rows, **shares), F.col("key"))
+    return j.select("doc_id", "size", F.col(name)["source_size"].alias("source_size"), F.col(name)["target"].alias("target"),
                     (F.col("size") * repeats).cast("long").alias("taken"), rows["source"].alias("source"), repeats.alias("repeats"))
 
 
 def mixed(docs: DataFrame, seed: int = 0, **shares) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    plan_ = plan(write_and_read(_sized(docs, seed), "sized"), **shares)
+    scratch = Scratch(docs.sparkSession)
+    plan_ = plan(scratch.write(_sized(docs, seed), "sized"), **shares)
+    scratch.clear()  # the plan is written
     columns = docs.columns
-    j, repeats = _repeats(docs, plan_, order_key(docs["doc_id"], docs["text"], seed))
-    return j.withColumn("_again", F.explode(F.when(repeats > 0, F.sequence(F.lit(1), repeats)).otherwise(F.array().cast("array<int>")))).select(*[docs[c] for c in columns])
+    j, _, repeats = _repeats(docs, plan_, order_key(docs["doc_id"], docs["text"], seed))
+    again = F.when(repeats > 0, F.sequence(F.lit(1), repeats)).otherwise(F.array().cast("array<int>"))
+    return j.withColumn(free_name(j, "again"), F.explode(again)).select(*[docs[c] for c in columns])
 
 
 SQL = r"""

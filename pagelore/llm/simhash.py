@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_and_read
+from ..session import Scratch, write_and_read
 
 BITS = 64
 SAMPLE = 2048
@@ -247,16 +247,25 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3) -
             .mapInArrow(lambda it: _links(it, radius), "a long, b long"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): least node of the component for every node of `pairs` (a, b); runs until no label changes."""
-    both = write_and_read(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = write_and_read(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+def components(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root): least node of the component for every node of `pairs` (a, b); runs until no label changes. The tables of
+    earlier rounds are deleted; `scratch` takes note of the last."""
+    spark = pairs.sparkSession
+    links_of, rounds = Scratch(spark), Scratch(spark)
+    both = links_of.write(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = rounds.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         up = label.select(F.col("node").alias("mid"), F.col("root").alias("up"))
-        new = write_and_read(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")), "labels")
+        now = Scratch(spark)
+        new = now.write(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")), "labels")
+        rounds.clear()
+        rounds = now
         if new.where("root <> old").isEmpty():
+            links_of.clear()
+            if scratch is not None:
+                scratch.paths += rounds.paths
             return new.select("node", "root")
         label = new.select("node", "root")
 

@@ -23,9 +23,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import is_not
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +60,7 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.room, self.known = room, {}
+        self.room, self.known, self.heads = room, {}, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
@@ -75,31 +78,37 @@ class Encoder:
         self.known.update(zip(new, [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        cuts: list[list[str] | None] = []
-        new: set[str] = set()
+        if len(self.known) > self.room:
+            self.known.clear()
+        known, new = self.known, set()
+        held: list[tuple[str, list[str], list[bytes | None], bool] | None] = []
         for text in texts:
             if any(a in text for a in self.added):
-                cuts.append(None)
+                held.append(None)
                 continue
-            pieces = text.split(" ")
-            mine = set(pieces[1:]).difference(known)
-            if not pieces[0] or pieces[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in mine):
-                pieces = _BETWEEN.split(text)
-                mine = set(pieces[1:]).difference(known)
-            new |= mine
-            cuts.append(pieces)
+            head, *rest = text.split(" ")
+            data = list(map(known.get, rest))
+            missing = [p for p, d in zip(rest, data, strict=True) if d is None]
+            if not head or head[-1].isspace() or "" in missing or any(map(is_not, missing, map(str.strip, missing))):  # strip gives a piece itself back if it is clean
+                head, *rest = _BETWEEN.split(text)
+                data = list(map(known.get, rest))
+                missing = [p for p, d in zip(rest, data, strict=True) if d is None]
+            new.update(missing)
+            held.append((head, rest, data, bool(missing)))
         if new:
             self._learn(list(new))
+        if len(self.heads) > self.room // 8:
+            self.heads.clear()
+        heads = list({h[0] for h in held if h and h[0]}.difference(self.heads))
+        for head, e in zip(heads, self.tokenizer.encode_batch_fast(heads, add_special_tokens=False), strict=True):
+            self.heads[head] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
         out = []
-        for text, pieces in zip(texts, cuts, strict=True):
-            if pieces is None:
+        for text, cut in zip(texts, held, strict=True):
+            if cut is None:
                 out.append(self._ids(text).tobytes())
             else:
-                head = self._ids(pieces[0]).tobytes() if pieces[0] else b""
-                out.append(head + b"".join(map(known.__getitem__, pieces[1:])))
+                head, rest, data, incomplete = cut
+                out.append(self.heads.get(head, b"") + b"".join(map(known.__getitem__, rest) if incomplete else data))
         return out
 
 
@@ -113,6 +122,16 @@ def _encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
+def _parts(b: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of (id, text) rows with so many bytes of text, or one row."""
+    ends = np.cumsum(pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def _file_bytes(width: int, doc_ids: list[int], n_null: int, ends: list[int], ids: list[bytes]) -> bytes:
     smallest = doc_ids[0] if doc_ids else 0
     bounds = EliasFano.encode(ends).to_bytes()
@@ -142,8 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         doc_ids, n_null, ends, ids, total = [], 0, [], [], 0
 
         def encoded(b):
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
+            for some in _parts(b):
                 yield from zip(some.column(0).to_pylist(), (x + end for x in encoder.encode(some.column(1).to_pylist())), strict=True)
 
         def close():
@@ -203,12 +221,13 @@ class Shard:
     def ids(self, a: int, b: int) -> np.ndarray:
         return np.frombuffer(self.data, f"<u{self.width}", b - a, self.at + a * self.width)
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(document id, first place, ids) of all documents, by one pass over both codes."""
-        ends = self.ends.decode().astype(np.int64).tolist()
-        names = [None] * self.n_null + [self.smallest + int(x) for x in self.names.decode().tolist()]
-        for name, a, b in zip(names, [0, *ends], ends, strict=False):
-            yield name, a, self.ids(a, b)
+    def documents(self) -> Iterator[tuple[int | None, int, int]]:
+        """(document id, first place, place behind the last) of all documents, by a select cursor over either code."""
+        names = chain.from_iterable(step.tolist() for step in self.names.steps())
+        a = 0
+        for k, b in enumerate(chain.from_iterable(step.tolist() for step in self.ends.steps())):
+            yield (None if k < self.n_null else self.smallest + next(names)), a, b
+            a = b
 
 
 def _get(folder: str, name: str) -> bytes:
@@ -235,13 +254,12 @@ def read_tokens(spark: SparkSession, folder: str, batch_docs: int = 256) -> Data
     """(doc_id, start, n_tokens, ids) of every document in the files."""
 
     def make(start, shard):
-        rows = list(shard.documents())
-        for k in range(0, len(rows), batch_docs):
-            some = rows[k:k + batch_docs]
+        rows = shard.documents()
+        while some := list(islice(rows, batch_docs)):
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([r[0] for r in some], pa.int64()), "start": pa.array([start + r[1] for r in some], pa.int64()),
-                "n_tokens": pa.array([len(r[2]) for r in some], pa.int64()),
-                "ids": pa.array([r[2].astype(np.int32) for r in some], pa.list_(pa.int32()))})
+                "doc_id": pa.array([d for d, _, _ in some], pa.int64()), "start": pa.array([start + a for _, a, _ in some], pa.int64()),
+                "n_tokens": pa.array([b - a for _, a, b in some], pa.int64()),
+                "ids": pa.array([shard.ids(a, b).astype(np.int32) for _, a, b in some], pa.list_(pa.int32()))})
 
     return _read(spark, folder, "doc_id long, start long, n_tokens long, ids array<int>", make)
 
@@ -250,7 +268,8 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def make(start, shard):
-        rows = [(d, start + a, len(v), zlib.crc32(v.astype("<u4").tobytes())) for d, a, v in shard.documents()]
+        wide = memoryview(shard.ids(0, shard.n_tokens).astype("<u4")).cast("B")  # one shard's ids, widened once
+        rows = [(d, start + a, b - a, zlib.crc32(wide[4 * a:4 * b])) for d, a, b in shard.documents()]
         yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("doc_id", "start", "n_tokens", "ids_crc32"))})
 
     return _read(spark, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", make)

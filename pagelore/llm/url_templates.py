@@ -12,7 +12,9 @@
   to the whole table's, reaches `reject`. Templates without labels get the rate above them.
 
 All is aggregates by (host, template), combined before the shuffle; a host that owns a third of the URLs is no more
-than its templates after that. Depth ends when no URL has a further segment.
+than its templates after that, and rows meet their template's figures over salted copies. A level holds only the URLs that
+have a further segment below a template of `least_urls` or more: below a smaller one all segments are variable, so
+what is left of such URLs, however deep, is named and counted in one pass for all levels.
 
 Cases: null or schemeless addresses have an empty host and path (no rule but one with an empty host could hold, and
 there is none) and a template of their own; a URL counts once however often it occurs; ties between rules go to the
@@ -26,7 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import write_and_read
+from ..operators.skew import spread_join
+from ..session import Scratch, write_and_read
 
 # (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -63,20 +66,30 @@ def templates(urls: DataFrame, least_share: float = 0.01, least_urls: int = 20,
     purity is the smoothed share of bad labels of the URL's template.
     """
     segments = F.filter(F.split(F.regexp_replace("path", "^/", ""), "/"), lambda x: x.isNotNull())
-    rows = write_and_read(urls.select("key", "host", segments.alias("s"), "label", F.lit("").alias("template")), "urls")
+    scratch = Scratch(urls.sparkSession)
+    rows = scratch.write(urls.select("key", "host", segments.alias("s"), "label", F.lit("").alias("template")), "urls")
     whole = rows.agg(F.count("label"), F.sum("label")).first()
-    base = (whole[1] or 0) / whole[0] if whole[0] else 0.0
-    # level 0: the host
-    rates = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n_urls"), F.count("label").alias("n_labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad"))
-    rates = write_and_read(rates.withColumn("purity", (F.col("n_bad") + prior_weight * base) / (F.col("n_labels") + prior_weight)), "rates")
-    depth = rows.agg(F.max(F.size("s"))).first()[0] or 0
-    for level in range(depth):
-        at = rows.withColumn("segment", F.get("s", F.lit(level)))
-        child = at.where("segment is not null").groupBy("host", "template", "segment").agg(
-            F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-        child = child.join(rates.select("host", "template", F.col("n_urls").alias("total"), F.col("purity").alias("above")), ["host", "template"])
+    above = F.lit((whole[1] or 0) / whole[0] if whole[0] else 0.0)
+    counts = [F.count(F.lit(1)).alias("n_urls"), F.count("label").alias("n_labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad")]
+
+    def smoothed(bad: Column, labels: Column, over: Column) -> Column:
+        return (bad + prior_weight * over) / (labels + prior_weight)
+
+    figures = ["n_urls", "n_labels", "n_bad", "purity"]
+    done, tails, level = [], [], 0
+    rates = rows.groupBy("host", "template").agg(*counts).withColumn("purity", smoothed(F.col("n_bad"), F.col("n_labels"), above))
+    while True:
+        now = scratch.write(spread_join(rows, rates, ["host", "template"], salt_by=["key"]), "level")
+        further = F.size("s") > level
+        done.append(now.where(~further).select("key", "host", "template", *figures))
+        tails.append(now.where(further & (F.col("n_urls") < least_urls)).select("key", "host", "label", "template", F.slice("s", level + 1, 1 << 30).alias("s"), "purity"))
+        at = now.where(further & (F.col("n_urls") >= least_urls)).withColumn("segment", F.get("s", F.lit(level)))
+        if at.isEmpty():
+            break
+        child = at.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"),
+                                                              F.any_value("n_urls").alias("total"), F.any_value("purity").alias("above"))
         stays = (F.col("n") >= least_urls) & (F.col("n") >= least_share * F.col("total"))
-        named = write_and_read(child.where(stays).withColumn("rate", (F.col("bad") + prior_weight * F.col("above")) / (F.col("labels") + prior_weight)), "named")
+        named = child.where(stays).withColumn("rate", smoothed(F.col("bad"), F.col("labels"), F.col("above")))
         # at most 1 / least_share branches stay below a template
         w = Window.partitionBy("host", "template").orderBy("rate", "segment")
         gap = F.col("rate") - F.lag("rate").over(w)
@@ -85,18 +98,36 @@ def templates(urls: DataFrame, least_share: float = 0.01, least_urls: int = 20,
         g = Window.partitionBy("host", "template", "group")
         merged = merged.select("host", "template", "segment", F.when(F.count(F.lit(1)).over(g) > 1, F.concat(
             F.lit("{"), F.min("segment").over(g), F.lit("+"), (F.count(F.lit(1)).over(g) - 1).cast("string"), F.lit("}"))).otherwise(F.col("segment")).alias("branch"))
-        merged = write_and_read(merged, "branches")
-        step = at.join(merged, ["host", "template", "segment"], "left").withColumn(
-            "next", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("branch", _shape(F.col("segment"))))))
-        moved = write_and_read(step.select("key", "host", "s", "label", "template", "next"), "urls")
-        new = moved.where("next <> template").groupBy("host", F.col("next"), "template").agg(
-            F.count(F.lit(1)).alias("n_urls"), F.count("label").alias("n_labels"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_bad"))
-        new = new.join(rates.select("host", "template", F.col("purity").alias("above")), ["host", "template"]).select(
-            "host", F.col("next").alias("template"), "n_urls", "n_labels", "n_bad",
-            ((F.col("n_bad") + prior_weight * F.col("above")) / (F.col("n_labels") + prior_weight)).alias("purity"))
-        rates = write_and_read(rates.unionByName(new), "rates")
-        rows = moved.select("key", "host", "s", "label", F.col("next").alias("template"))
-    return rows.select("key", "host", "template").join(rates, ["host", "template"]).select("key", "host", "template", "n_urls", "n_labels", "n_bad", "purity")
+        merged = scratch.write(merged, "branches")
+        step = spread_join(at, merged, ["host", "template", "segment"], "left", salt_by=["key"])
+        nxt = F.concat("template", F.lit("/"), F.coalesce("branch", _shape(F.col("segment"))))
+        rows = scratch.write(step.select("key", "host", "s", "label", nxt.alias("template"), F.col("purity").alias("above")), "urls")
+        rates = rows.groupBy("host", "template").agg(*counts, F.any_value("above").alias("above"))
+        rates = rates.select("host", "template", "n_urls", "n_labels", "n_bad", smoothed(F.col("n_bad"), F.col("n_labels"), F.col("above")).alias("purity"))
+        rows = rows.drop("above")
+        level += 1
+    rest = _union(tails).withColumn("s", F.transform("s", _shape))
+    place = F.posexplode(F.transform("s", lambda _, i: F.concat("template", F.lit("/"), F.array_join(F.slice("s", 1, i + 1), "/"))))
+    below = rest.select("host", "label", "purity", F.concat("template", F.lit("/"), F.array_join("s", "/")).alias("whole"), place.alias("i", "template"))
+    part = below.groupBy("host", "template").agg(*counts)
+    path = below.groupBy("host", "whole", "i", "template").agg(F.any_value("purity").alias("above"))
+    path = path.join(part, ["host", "template"]).groupBy("host", "whole").agg(  # as many as the template has segments
+        F.any_value("above").alias("above"), F.array_sort(F.collect_list(F.struct("i", "n_urls", "n_labels", "n_bad"))).alias("p"))
+    last = F.element_at("p", -1)
+    path = path.select("host", F.col("whole").alias("template"), *[last[c].alias(c) for c in figures[:-1]],
+                       F.aggregate("p", F.col("above"), lambda a, x: smoothed(x["n_bad"], x["n_labels"], a)).alias("purity"))
+    tail_rows = rest.select("key", "host", F.concat("template", F.lit("/"), F.array_join("s", "/")).alias("template"))
+    out = _union([*done, spread_join(tail_rows, path, ["host", "template"], salt_by=["key"]).select("key", "host", "template", *figures)])
+    out = write_and_read(out, "templates")
+    scratch.clear()
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, reject: float = 0.6, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:

@@ -7,8 +7,8 @@ length agree, and a stored payload must hash to its own name when it is read.
 
 Among records with equal payloads of at least `min_bytes`, the one with the largest id is the response, the others
 are revisits that refer to it. The choice needs one maximum per digest, combined before the shuffle; payload bytes
-move once, to the one row that keeps them, and never meet the copies. Reading measures each stored payload once
-and joins the small result to the headers, so a payload with very many copies costs only short rows.
+move once, to the one row that keeps them, and never meet the copies. Reading puts every record together again and takes
+its figures from those bytes; a payload with very many copies costs only short rows over salted copies.
 
 Cases: a null text is the empty payload; a null url is an empty target; records with a null id are revisits of an
 equal payload with an id, and without one a response under the id `none`; rows that repeat an id and payload are
@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
+from ..session import remove, write_and_read
+
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
@@ -74,6 +77,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str
         keeper.where("keeper is null").select("sha256"), "sha256", "left_semi")
     (named.dropDuplicates(["sha256", "page"]).select("sha256", "payload")
      .unionByName(nameless.dropDuplicates(["sha256"]).select("sha256", "payload")).write.mode("overwrite").parquet(f"{folder}/payloads"))
+    remove(spark, f"{folder}/digests")
 
 
 def _field(name: str) -> Column:
@@ -89,17 +93,6 @@ def _verified(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(bad))
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, header_digest): per record from its header bytes, the
-    figures of the payload measured on the stored bytes."""
-    payloads = _verified(spark.read.parquet(f"{folder}/payloads"))
-    stored = payloads.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    h = spark.read.parquet(f"{folder}/headers").select(
-        "sha256", _page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"), _page(_field("WARC-Refers-To")).alias("refers_to"),
-        F.substring(_field("WARC-Payload-Digest"), 6, 32).alias("header_digest"))
-    return h.join(stored, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "header_digest")
-
-
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """(page, record): the original bytes of every record, header, block and closing lines."""
     h = spark.read.parquet(f"{folder}/headers")
@@ -108,6 +101,33 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(h.where(F.octet_length("http") == 0).select("page", F.concat("header", F.encode(F.lit(END + END), "UTF-8")).alias("record")))
 
 
+def _after(data: Column) -> Column:
+    """Place behind the first empty line, counted in bytes."""
+    return F.instr(F.decode(data, "ISO-8859-1"), END + END) + F.lit(len(END + END))
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, header_digest) of every record, from its own bytes.
+
+    Records are put together again and taken apart as a reader of the archive does it: header up to the first empty line, a block
+    of Content-Length bytes, the payload behind the HTTP header. A revisit has no payload; its figures are those of the record
+    that it refers to, found by record id and digest.
+    """
+    r = records(spark, folder).withColumn("at", _after(F.col("record")))
+    r = r.select(F.expr("substring(record, 1, at - 1)").alias("header"), F.expr("substring(record, at)").alias("rest"))
+    r = r.withColumn("block", F.substring("rest", F.lit(1), _field("Content-Length").cast("int")))
+    r = r.withColumn("payload", F.when(_field("WARC-Type") == "response", F.substring("block", _after(F.col("block")), F.octet_length("block"))))
+    r = r.select(_page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"), _page(_field("WARC-Refers-To")).alias("refers_to"),
+                 F.substring(_field("WARC-Payload-Digest"), 6, 32).alias("header_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    r = write_and_read(r, "archive_index")  # short rows; the bytes are read once
+    of = r.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "header_digest")
+    seen = of.select("refers_to", "header_digest").distinct()
+    first = r.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "header_digest", "payload_bytes", "payload_digest")
+    first = first.join(seen, ["refers_to", "header_digest"], "left_semi").dropDuplicates(["refers_to", "header_digest"])
+    again = spread_join(of, first, ["refers_to", "header_digest"], "left", salt_by=["page_id"])
+    return again.select(*r.columns).unionByName(r.where("record_type = 'response'"))
+
+
 def split_records(files: DataFrame, content: str = "content") -> DataFrame:
     """(header, http, payload) of every record in WARC bytes, exact to the byte; for reading archives made elsewhere."""
 
