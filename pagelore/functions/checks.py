@@ -60,9 +60,9 @@ def range_reason(name: str, c: Column) -> Column:
     return F.array_compact(F.array(F.when(c < lo, f"{name}_too_low"), F.when(c > hi, f"{name}_too_high")))
 
 
-def sanitize_input(c: Column, max_length: int = 1000) -> Column:
-    """Limited length, no quotes or angle brackets, no SQL or script words."""
-    t = F.regexp_replace(F.substring(c, 1, max_length), "[<>\"']", "")
+def sanitize_input(c: Column, max_length: int | None = None) -> Column:
+    """No quotes or angle brackets, no SQL or script words; cut to a length first if one is given (a service took 1000)."""
+    t = F.regexp_replace(c if max_length is None else F.substring(c, 1, max_length), "[<>\"']", "")
     t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(SQL_WORDS) + r")\b|--|/\*|\*/", "")
     t = F.regexp_replace(t, r"(?i)\b(?:" + "|".join(SCRIPT_WORDS) + r")\b", "")
     return F.coalesce(F.trim(t), F.lit(""))
@@ -139,20 +139,27 @@ def hook_matches(event: Column, tags: Column, enabled: bool, events: list[str],
 COUNTED = ("results", "scraped_content", "extracted_data")
 
 
-def shrink_payload(fields: dict[str, Column], kinds: dict[str, str], max_bytes: int = 1_000_000) -> Column:
-    """JSON payload: lists named above become <name>_count, errors/progress are dropped, and a payload
-    over the size limit gets texts of 1000 characters and lists of ten items."""
+def over(size: Column, limit: int) -> Column:
+    """What a limit would cut away."""
+    return F.greatest(size - limit, F.lit(0)).cast("long")
+
+
+def shrink_payload(fields: dict[str, Column], kinds: dict[str, str], max_bytes: int | None = None, chars: int = 1000, items: int = 10) -> Column:
+    """JSON payload: lists named above become <name>_count, errors/progress are dropped. Only if a size is given, a payload
+    over it (a service took a million bytes) gets texts of `chars` characters and lists of `items`."""
     keep = {}
     for name, c in fields.items():
         if name in ("errors", "progress"):
             continue
         keep[name + "_count" if name in COUNTED else name] = F.size(c) if name in COUNTED else c
     full = F.to_json(F.struct(*[c.alias(n) for n, c in keep.items()]))
+    if max_bytes is None:
+        return full
     cut = {}
     for n, c in keep.items():
         k = kinds.get(n)
-        cut[n] = (F.when(F.length(c) > 1000, F.concat(F.substring(c, 1, 1000), F.lit("..."))).otherwise(c)
-                  if k == "text" else F.slice(c, 1, 10) if k == "list" else c)
+        cut[n] = (F.when(F.length(c) > chars, F.concat(F.substring(c, 1, chars), F.lit("..."))).otherwise(c)
+                  if k == "text" else F.slice(c, 1, items) if k == "list" else c)
     small = F.to_json(F.struct(*[c.alias(n) for n, c in cut.items()]))
     return F.when(F.octet_length(full) > max_bytes, small).otherwise(full)
 

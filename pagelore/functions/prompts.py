@@ -25,9 +25,9 @@ def research_queries(topic: Column, n: int = 10, categories: list[str] | None =
     return F.array(*out[:n])
 
 
-def context(ranked: DataFrame, keys: list[str], rank: Column, title: Column, url: Column, body: Column, chars: int = 1000) -> DataFrame:
-    """Numbered sources joined by rules. The input holds the few chosen sources per key."""
-    block = F.concat(F.lit("[Source "), rank.cast("string"), F.lit("]\nTitle: "), title, F.lit("\nURL: "), url, F.lit("\nContent: "), F.substring(body, 1, chars))
+def context(ranked: DataFrame, keys: list[str], rank: Column, title: Column, url: Column, body: Column, chars: int | None = None) -> DataFrame:
+    """Numbered sources joined by rules, each cut to a length only if one is given. The input holds the few chosen sources per key."""
+    block = F.concat(F.lit("[Source "), rank.cast("string"), F.lit("]\nTitle: "), title, F.lit("\nURL: "), url, F.lit("\nContent: "), body if chars is None else F.substring(body, 1, chars))
     d = ranked.select(*keys, F.struct(rank.alias("r"), block.alias("b")).alias("x"))
     return d.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 

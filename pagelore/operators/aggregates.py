@@ -116,10 +116,11 @@ def credits(rerank: Column, answer: Column, production: Column, safety: Column)
             + safety.cast("int"))
 
 
-def key_findings(text: Column, k: int = 10) -> Column:
-    """First k lines that start with a digit, dash or bullet and have 21 to 299 characters."""
+def key_findings(text: Column, k: int | None = None) -> Column:
+    """The lines (the first k, if a number is given) that start with a digit, dash or bullet and have 21 to 299 characters."""
     lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
-    return F.slice(F.filter(lines, lambda x: x.rlike(r"^[0-9\-•]") & (F.length(x) > 20) & (F.length(x) < 300)), 1, k)
+    found = F.filter(lines, lambda x: x.rlike(r"^[0-9\-•]") & (F.length(x) > 20) & (F.length(x) < 300))
+    return found if k is None else F.slice(found, 1, k)
 
 
 def first_seen_terms(tokens: DataFrame, doc: str, order: str, term: str = "tok") -> DataFrame:

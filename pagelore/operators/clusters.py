@@ -2,37 +2,76 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.encoders import hash_batch
-from .skew import top_per_key
+from ..functions import text as X
+from ..session import write_and_read
+from .graph import components
+from .skew import spread_join, top_per_key
 
 
-def page_clusters(blocks: DataFrame, min_similarity: float = 0.8, min_words: int = 10, k: int = 3) -> DataFrame:
-    """(page_id, cluster, n_blocks, words, rank): blocks linked by cosine of hashed unigrams and bigrams.
+def block_terms(blocks: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """(page_id, block, term, weight, before): unit TF-IDF vectors of single words and pairs of neighbours, per page.
 
-    A page's blocks are one bounded group (they come from one page row), so each page is a block product
-    and a merge in one batch; Spark spreads the pages.
+    idf is ln((1 + n) / (1 + df)) + 1 over the page's blocks. The terms of a block stand from rare to frequent, `before` is
+    the squared weight of those ahead of a term. `max_terms` keeps the most frequent terms of a page alone.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        texts = [s + " " + " ".join(a + "_" + b for a, b in zip(s.split(), s.split()[1:])) for s in pdf["text"]]
-        m = hash_batch(texts, 512)
-        near = (m @ m.T) >= min_similarity
-        label = list(range(len(pdf)))
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(label)):
-                low = min(label[j] for j in range(len(label)) if near[i, j] or i == j)
-                if low < label[i]:
-                    label[i], changed = low, True
-        out = pdf.assign(cluster=[int(pdf["block"].iloc[x]) for x in label])
-        g = out.groupby("cluster").agg(n_blocks=("block", "size"), words=("words", "sum")).reset_index()
-        g.insert(0, "page_id", pdf["page_id"].iloc[0])
-        return g.astype({"page_id": "int64", "cluster": "int32", "n_blocks": "int64", "words": "int64"})
-
-    c = blocks.select("page_id", "block", "text", "words").groupBy("page_id").applyInPandas(run, "page_id long, cluster int, n_blocks long, words long")
+    words = F.filter(F.split(F.lower(X.squeeze(F.col("text"))), " "), lambda w: w != "")
+    d = blocks.select("page_id", "block", words.alias("w"))
+    pairs = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    terms = d.select("page_id", "block", F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("term"))
+    tf = terms.groupBy("page_id", "block", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("times"))
+    if max_terms is not None:
+        df = top_per_key(df, ["page_id"], [F.col("times").desc(), F.col("term")], max_terms)
+    n = tf.select("page_id", "block").distinct().groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    w = tf.join(df.select("page_id", "term", "df"), ["page_id", "term"]).join(n, "page_id").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    # a block is part of one page row: its terms are one array
+    v = w.groupBy("page_id", "block").agg(F.array_sort(F.collect_list(F.struct("df", "term", "x"))).alias("v"))
+    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])))
+    v = v.select("page_id", "block", F.posexplode(F.transform("v", lambda t: F.struct(t["term"].alias("term"), (t["x"] / F.col("norm")).alias("weight")))).alias("i", "t"), F.transform("v", lambda t: t["x"] * t["x"] / (F.col("norm") * F.col("norm"))).alias("q"))
+    return v.select("page_id", "block", "t.term", "t.weight", F.aggregate(F.slice("q", 1, F.col("i")), F.lit(0.0), lambda s, x: s + x).alias("before"))
+
+
+def similar_blocks(terms: DataFrame, min_similarity: float) -> DataFrame:
+    """(page_id, a, b): pairs of blocks of a page with that cosine or more; exact.
+
+    A pair shares a term among the first of either block, up to which their squared weights reach 1 - t^2: what lies behind
+    is shorter than t. So only these rare terms bring pairs together, and their products are summed over all terms.
+    """
+    terms = write_and_read(terms, "block_terms")
+    first = terms.where(F.col("before") <= 1 - min_similarity ** 2 + 1e-9)
+    a, b = first.select("page_id", F.col("block").alias("a"), "term"), first.select("page_id", F.col("block").alias("b"), "term")
+    pairs = a.join(b, ["page_id", "term"]).where("a < b").select("page_id", "a", "b").distinct()
+    left = terms.select("page_id", F.col("block").alias("a"), "term", F.col("weight").alias("x"))
+    right = terms.select("page_id", F.col("block").alias("b"), "term", F.col("weight").alias("y"))
+    dot = pairs.join(left, ["page_id", "a"]).join(right, ["page_id", "b", "term"]).groupBy("page_id", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    return dot.where(F.round("s", 9) >= min_similarity).select("page_id", "a", "b")
+
+
+def page_clusters(blocks: DataFrame, min_similarity: float = 0.8, min_words: int = 10, k: int = 3, max_terms: int | None = None,
+                  query: str | None = None, least_overlap: float = 0.3) -> DataFrame:
+    """(page_id, cluster, n_blocks, words, rank): the k clusters with most words of each page, named by their first block.
+
+    Blocks are linked by the cosine of their TF-IDF vectors and joined by components. Equal texts of a page are one block of
+    the search, so a page that repeats a text a thousand times makes no pairs of it. With a `query`, only blocks whose words
+    overlap with it (Jaccard) by `least_overlap` take part.
+
+    Cases: a block without words is a cluster of its own; null texts count as empty; pages without blocks give no rows.
+    """
+    b = blocks.select("page_id", "block", F.coalesce("text", F.lit("")).alias("text"), "words")
+    if query is not None:
+        asked = X.literal_set(sorted(set(query.lower().split())))
+        mine = F.array_distinct(F.filter(F.split(F.lower(X.squeeze(F.col("text"))), " "), lambda w: w != ""))
+        b = b.where(F.size(F.array_intersect(mine, asked)) >= least_overlap * F.size(F.array_union(mine, asked)))
+    b = write_and_read(b.withColumn("same", F.md5(F.lower(X.squeeze(F.col("text"))))), "blocks")
+    one = b.where(F.trim("text") != "").groupBy("page_id", "same").agg(F.min("block").alias("first"), F.min_by("text", "block").alias("text"))
+    pairs = similar_blocks(block_terms(one.select("page_id", F.col("first").alias("block"), "text"), max_terms), min_similarity)
+    name = lambda c: F.concat(F.col("page_id").cast("string"), F.lit(":"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    linked = components(pairs.select(name("a").alias("src"), name("b").alias("dst")))
+    member = b.join(one.select("page_id", "same", "first"), ["page_id", "same"], "left").withColumn("node", name("first"))
+    named = spread_join(member, linked, ["node"], "left", salt_by=["block"])
+    cluster = F.coalesce(F.split("component", ":")[1].cast("int"), F.col("first").cast("int"), F.col("block").cast("int"))
+    c = named.groupBy("page_id", cluster.alias("cluster")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("words").cast("long").alias("words"))
     return top_per_key(c.where(F.col("words") >= min_words), ["page_id"], [F.col("words").desc(), F.col("cluster")], k)

@@ -18,10 +18,11 @@ from .skew import latest_per_key, spread_join, top_per_key
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, keep: Column | None = None) -> DataFrame:
     """(node, depth): every node reached within the depth, at its first depth. `keep` filters candidate nodes (column `node`)."""
+    edges = write_and_read(edges.select("src", "dst"), "bfs-edges")  # read at every level, derived once
     level = write_and_read(seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0)), "bfs-0")
     seen = level
     for d in range(1, max_depth + 1):
-        step = spread_join(edges.select("src", "dst"), level.select(F.col("node").alias("src")), ["src"], salt_by=["dst"])
+        step = spread_join(edges, level.select(F.col("node").alias("src")), ["src"], salt_by=["dst"])
         nxt = step.select(F.col("dst").alias("node")).distinct()
         if keep is not None:
             nxt = nxt.where(keep)
@@ -98,12 +99,19 @@ def depth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataF
     """(node, path): tree order by least path. `edges` are (src, dst, ord); a node keeps its least path of
     child positions, so sorting by path visits a node before its subtree. A global page limit of a
     sequential crawl may cut elsewhere."""
-    best = write_and_read(seeds.select("node", F.array(F.col("ord").cast("int")).alias("path")), "dfs-0")
+    edges = write_and_read(edges.select("src", "dst", "ord"), "dfs-edges")
+    best = write_and_read(seeds.groupBy("node").agg(F.min(F.array(F.col("ord").cast("int"))).alias("path")).withColumn("changed", F.lit(True)), "dfs-0")
     for d in range(1, max_depth + 1):
-        step = spread_join(edges, best.withColumnRenamed("node", "src"), ["src"], salt_by=["dst"])
-        new = step.where(F.size("path") <= max_depth).select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"))
-        best = write_and_read(best.unionByName(new).groupBy("node").agg(F.min("path").alias("path")), f"dfs-{d}")
-    return best
+        # only a node whose path became less in the last round can make its children's less
+        last = best.where(F.col("changed") & (F.size("path") <= max_depth)).select(F.col("node").alias("src"), "path")
+        step = spread_join(edges, last, ["src"], salt_by=["dst"])
+        new = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array(F.col("ord").cast("int")))).alias("new"))
+        both = best.select("node", "path").join(new, "node", "full")
+        better = F.col("new").isNotNull() & (F.col("path").isNull() | (F.col("new") < F.col("path")))
+        best = write_and_read(both.select("node", F.when(better, F.col("new")).otherwise(F.col("path")).alias("path"), better.alias("changed")), f"dfs-{d}")
+        if best.where("changed").isEmpty():
+            break
+    return best.select("node", "path")
 
 
 def website_map(sources: list[DataFrame], base: str | None, limit: int | None = None, **scope) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests as D
 from ..functions import text as X
 from ..functions.textdiff import change_percentage
-from ..session import write_and_read
-from .skew import numbered, previous_row, spread_join, top_per_key
+from ..session import path_exists, write_and_read
+from .skew import nested, numbered, previous_row, spread_join, top_per_key
 
 
 def normal_text(c: Column) -> Column:
@@ -110,34 +113,62 @@ def claim_evidence(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: st
     return hit.join(total, claim_id).withColumn("containment", F.col("shared") / F.col("total"))
 
 
-def verdicts(evidence: DataFrame, docs: DataFrame, claims: DataFrame, claim_id: str, doc_id: str, k: int = 5, support: float = 0.5) -> DataFrame:
-    """Best evidence on both sides (at most k each, snippet of 300 characters, offset) and the verdict."""
+def verdicts(evidence: DataFrame, docs: DataFrame, claims: DataFrame, claim_id: str, doc_id: str, k: int | None = None, support: float = 0.5, chars: int | None = None) -> DataFrame:
+    """The evidence on both sides (the best k of each and snippets of so many characters only if numbers are given) and the verdict."""
     d = evidence.where(F.col("containment") >= support).join(docs.select(doc_id, F.col("text").alias("body")), doc_id).join(claims.select(claim_id, "text"), claim_id)
     at = F.greatest(F.instr(F.lower("body"), F.lower(F.substring_index("text", " ", 5))), F.lit(1))
     around = F.substring(F.col("body"), F.greatest(at - 80, F.lit(1)), F.lit(80))
     neg = F.exists(X.index_tokens(around), lambda w: w.isin(*NEGATIONS)) & ~F.exists(X.index_tokens(F.col("text")), lambda w: w.isin(*NEGATIONS))
-    e = d.select(claim_id, doc_id, "containment", at.alias("offset"), F.substring(F.col("body"), at, F.lit(300)).alias("snippet"),
+    e = d.select(claim_id, doc_id, "containment", at.alias("offset"), F.substring(F.col("body"), at, F.lit(chars) if chars else F.length("body")).alias("snippet"),
                  F.when(neg, "against").otherwise("for").alias("side"))
-    top = top_per_key(e, [claim_id, "side"], [F.col("containment").desc(), F.col(doc_id)], k)
-    g = top.groupBy(claim_id).agg(F.count_if(F.col("side") == "for").alias("n_for"), F.count_if(F.col("side") == "against").alias("n_against"),
-                                  F.max("containment").alias("best"), F.array_sort(F.collect_list(F.struct("side", "rank", doc_id, "offset", "snippet"))).alias("evidence"))
+    if k is not None:
+        e = top_per_key(e, [claim_id, "side"], [F.col("containment").desc(), F.col(doc_id)], k).drop("rank")
+    g = e.groupBy(claim_id).agg(F.count_if(F.col("side") == "for").alias("n_for"), F.count_if(F.col("side") == "against").alias("n_against"), F.max("containment").alias("best"))
+    # in parts: a claim that everything quotes has a long list
+    g = g.join(nested(e, [claim_id], F.struct("side", (-F.col("containment")).alias("order"), doc_id, "offset", "snippet"), F.col(doc_id), "evidence"), claim_id)
     v = F.when(F.col("n_for").isNull() | (F.col("n_for") + F.col("n_against") == 0), "unverified").when(F.col("n_against") > F.col("n_for"), "contradicted") \
         .when((F.col("n_against") > 0), "mixed").otherwise("supported")
     return claims.select(claim_id).join(g, claim_id, "left").withColumn("verdict", v).withColumn("confidence", F.coalesce(F.col("best"), F.lit(0.0)))
 
 
-def credibility(docs: DataFrame, labels: DataFrame, source: str, doc_id: str, text: str) -> DataFrame:
-    """Score 0-100 per source from text quality, label share and duplicate share; 50/unknown without labels."""
-    d = docs.select(source, doc_id, F.md5(text).alias("h"), F.least(F.length(text), F.lit(5000)).alias("len"))
+def credibility(docs: DataFrame, labels: DataFrame, source: str, doc_id: str, text: str, seen_at: str | None = None, now: Column | None = None, old_days: float = 365.0) -> DataFrame:
+    """Score 0-100 per source from text quality, label share and duplicate share; 50/unknown without labels.
+
+    With `seen_at`, when a document was first seen, and `now`, a source also gains up to 10 points with the age of its oldest
+    document, in full at `old_days`.
+    """
+    aged = seen_at is not None and now is not None
+    d = docs.select(source, doc_id, F.md5(text).alias("h"), F.least(F.length(text), F.lit(5000)).alias("len"), *([F.col(seen_at).cast("timestamp").alias("seen")] if aged else []))
     j = d.join(labels, doc_id, "left")
-    base = j.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.avg("quality").alias("good"), F.avg("toxic").alias("bad"), (F.avg("len") / 5000).alias("quality"))
+    age = [F.greatest(F.lit(0.0), (now.cast("timestamp").cast("double") - F.min(F.col("seen").cast("double"))) / 86400).alias("age_days")] if aged else []
+    base = j.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.avg("quality").alias("good"), F.avg("toxic").alias("bad"), (F.avg("len") / 5000).alias("quality"), *age)
     dup = d.groupBy(source, "h").agg(F.count(F.lit(1)).alias("c")).groupBy(source).agg((1 - F.count(F.lit(1)) / F.sum("c")).alias("duplicate_share"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 40 * F.col("good") + 30 * F.col("quality") + 30 * (1 - F.col("duplicate_share")) - 20 * F.col("bad")))
+    older = 10 * F.least(F.lit(1.0), F.coalesce(F.col("age_days"), F.lit(0.0)) / old_days) if aged else F.lit(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 40 * F.col("good") + 30 * F.col("quality") + 30 * (1 - F.col("duplicate_share")) - 20 * F.col("bad") + older))
     out = base.join(dup, source)
     return out.withColumn("score", F.when(F.col("labelled") == 0, 50.0).otherwise(score)).withColumn(
         "level", F.when(F.col("labelled") == 0, "unknown").when(F.col("score") >= 70, "high").when(F.col("score") >= 40, "medium").otherwise("low"))
 
 
+def kept_fresh(folder: str, wanted: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], now: datetime, valid_days: float = 7.0) -> DataFrame:
+    """The table of computed rows below `folder`, with those of `wanted` (key) that it lacks or that have run out computed anew.
+
+    `compute` gets the keys to compute and returns one row per key. Rows carry computed_at and valid_until. A call writes the next
+    version of the table, a folder of its own: what is still valid is taken over, and what nobody wants goes when it runs out.
+    """
+    spark = wanted.sparkSession
+    version = 0
+    while path_exists(spark, f"{folder}/version={version}/_SUCCESS"):
+        version += 1
+    at = F.lit(now).cast("timestamp")
+    keys = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+    old = spark.read.parquet(f"{folder}/version={version - 1}").where(F.col("valid_until") > at) if version else None
+    missing = keys if old is None else keys.join(old.select(key), key, "left_anti")
+    fresh = compute(missing).withColumns({"computed_at": at, "valid_until": at + F.make_dt_interval(secs=F.lit(valid_days * 86400.0))})
+    (fresh if old is None else old.unionByName(fresh.select(*old.columns))).write.mode("overwrite").parquet(f"{folder}/version={version}")
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
 def unsafe(c: Column, terms: list[str]) -> Column:
     """Any listed word as a whole word."""
     return F.exists(X.index_tokens(c), lambda w: w.isin(terms))

@@ -64,10 +64,11 @@ def input_urls(given: DataFrame, found: DataFrame, site_map: DataFrame, cap: int
 def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
     """Best rows until the running cost first passes the budget.
 
-    Costs are positive, so a row ranked after `budget` others cannot fit; that bounds what the window sees
-    of a hot key without changing the result.
+    A row that costs something and is ranked after `budget` others that do cannot fit; that bounds what the window sees of
+    these without changing the result. Rows that cost nothing fit as long as the rows before them do.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_cost", F.greatest(cost, F.lit(1))).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= budget)
+    d = df.withColumn("_cost", F.greatest(cost, F.lit(0)))
+    paid = d.where("_cost > 0").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= budget + 1).drop("_rn")
     run = F.sum("_cost").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("_run", run).where(F.col("_run") <= budget).drop("_cost", "_rn", "_run")
+    return paid.unionByName(d.where("_cost = 0")).withColumn("_run", run).where(F.col("_run") <= budget).drop("_cost", "_run")

@@ -298,11 +298,11 @@ def job_progress(t: Inputs):
 
 @query("agg_24_key_findings", """
 WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || '- '), chr(10)), lambda x: trim(x)),
-  lambda x: regexp_matches(x, '^[0-9\\-•]') AND length(x) > 20 AND length(x) < 300)[1:10] AS f FROM documents)
-SELECT doc_id, len(f) AS n, md5(array_to_string(f, '|')) AS findings_md5 FROM f""")
+  lambda x: regexp_matches(x, '^[0-9\\-•]') AND length(x) > 20 AND length(x) < 300) AS f FROM documents)
+SELECT doc_id, len(f) AS n, md5(array_to_string(f, '|')) AS findings_md5, greatest(len(f) - 10, 0) AS over_limit FROM f""")
 def key_findings(t: Inputs):
     f = A.key_findings(F.replace("text", F.lit(". "), F.lit(".\n- ")))
-    return t.documents.select("doc_id", F.size(f).cast("long").alias("n"), F.md5(F.array_join(f, "|")).alias("findings_md5"))
+    return t.documents.select("doc_id", F.size(f).cast("long").alias("n"), F.md5(F.array_join(f, "|")).alias("findings_md5"), F.greatest(F.size(f) - 10, F.lit(0)).cast("long").alias("over_limit"))
 
 
 @query("agg_25_json_leaves", """

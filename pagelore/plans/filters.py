@@ -202,11 +202,13 @@ def suspicious_request(t: Inputs):
 
 
 @query("flt_16_sanitize_input", """
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(substr('<b>Select ' || text, 1, 1000), '[<>"'']', '', 'g'),
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace('<b>Select ' || text, '[<>"'']', '', 'g'),
   '(?i)\\b(UNION|SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|EXEC|EXECUTE)\\b|--|/\\*|\\*/', '', 'g'), '(?i)\\b(SCRIPT|JAVASCRIPT|VBSCRIPT)\\b', '', 'g'))) AS clean_md5,
-  md5(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[;''"\\\\]', '', 'g'))) AS query_md5 FROM documents""")
+  md5(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[;''"\\\\]', '', 'g'))) AS query_md5,
+  greatest(length(text) - 989, 0)::BIGINT AS over_limit FROM documents""")
 def sanitize_input(t: Inputs):
-    return t.documents.select("doc_id", F.md5(C.sanitize_input(F.concat(F.lit("<b>Select "), "text"))).alias("clean_md5"),
+    """Whole texts; `over_limit` is what a limit of 1000 characters would cut."""
+    return t.documents.select("doc_id", C.over(F.length("text") + 11, 1000).alias("over_limit"), F.md5(C.sanitize_input(F.concat(F.lit("<b>Select "), "text"))).alias("clean_md5"),
                               F.md5(C.clean_query(F.col("text"))).alias("query_md5"))
 
 
@@ -242,15 +244,13 @@ def hook_match(t: Inputs):
 
 @query("flt_20_payload", """
 SELECT doc_id, len(string_split(text, ' ')) AS results_count, contains(text, 'zzzz') AS has_errors,
-  CASE WHEN octet_length(encode(text)) > 3000 THEN 1003 ELSE length(text) END AS n_text FROM documents""")
+  length(text)::BIGINT AS n_text, greatest(length(text) - 1000, 0)::BIGINT AS over_limit FROM documents""")
 def payload(t: Inputs):
-    p = C.shrink_payload({"results": F.split("text", " "), "text": F.col("text"), "errors": F.array(F.lit("zzzz"))}, {"text": "text"},
-                         max_bytes=1)
-    q = C.shrink_payload({"results": F.split("text", " "), "text": F.col("text"), "errors": F.array(F.lit("zzzz"))}, {"text": "text"})
-    big = F.octet_length("text") > 3000
-    j = F.from_json(F.when(big, p).otherwise(q), "results_count long, text string, errors array<string>")
+    """Whole texts; `over_limit` is what the limit of a large payload would cut."""
+    p = C.shrink_payload({"results": F.split("text", " "), "text": F.col("text"), "errors": F.array(F.lit("zzzz"))}, {"text": "text"})
+    j = F.from_json(p, "results_count long, text string, errors array<string>")
     return t.documents.select("doc_id", j["results_count"].alias("results_count"), F.coalesce(j["errors"].isNotNull(), F.lit(False)).alias("has_errors"),
-                              F.length(j["text"]).cast("long").alias("n_text"))
+                              F.length(j["text"]).cast("long").alias("n_text"), C.over(F.length("text"), 1000).alias("over_limit"))
 
 
 @query("flt_21_cutoff_delete", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions import digests as D
@@ -9,6 +11,7 @@ from ..functions import dom
 from ..functions import textdiff as TD
 from ..operators import provenance as V
 from ..operators import retention as RT
+from ..session import scratch_path
 from .html import strip
 from .registry import Inputs, query
 
@@ -165,7 +168,7 @@ def claim_evidence(t: Inputs):
 
 @query("prv_10_verdicts", f"""
 WITH {EVID}, s AS (SELECT item_id, count(*) AS n, max(shared / len(g)) AS best FROM e JOIN c USING (item_id) WHERE shared / len(g) >= 0.5 GROUP BY 1)
-SELECT item_id, CASE WHEN n IS NULL THEN 'unverified' ELSE 'supported' END AS verdict, least(coalesce(n, 0), 5)::BIGINT AS n_evidence, round(coalesce(best, 0), 6) AS confidence FROM benchmark LEFT JOIN s USING (item_id)""")
+SELECT item_id, CASE WHEN n IS NULL THEN 'unverified' ELSE 'supported' END AS verdict, coalesce(n, 0)::BIGINT AS n_evidence, round(coalesce(best, 0), 6) AS confidence FROM benchmark LEFT JOIN s USING (item_id)""")
 def verdicts(t: Inputs):
     v = V.verdicts(evidence(t), t.documents.select("doc_id", "text"), t.benchmark, "item_id", "doc_id")
     return v.select("item_id", "verdict", F.coalesce(F.col("n_for") + F.col("n_against"), F.lit(0)).alias("n_evidence"), F.round("confidence", 6).alias("confidence"))
@@ -178,6 +181,32 @@ def credibility(t: Inputs):
     return V.credibility(t.documents, t.labels, "source", "doc_id", "text").select("source", "n", F.round("duplicate_share", 6).alias("duplicate_share"), F.round("score", 5).alias("score"))
 
 
+@query("prv_11_refresh", """
+WITH d AS (SELECT *, TIMESTAMP '2023-01-01' + to_hours(doc_id) AS seen FROM documents),
+b AS (SELECT source, count(quality) AS labelled, avg(quality) AS good, avg(toxic) AS bad, avg(least(length(text), 5000)) / 5000 AS q, 1 - count(DISTINCT md5(text)) / count(*) AS dup, min(seen) AS first FROM d LEFT JOIN labels USING (doc_id) GROUP BY 1),
+c AS (SELECT *, CASE WHEN source < 'src2' THEN TIMESTAMP '2024-03-09' ELSE TIMESTAMP '2024-03-04' END AS tm FROM b)
+SELECT source, strftime(tm, '%Y-%m-%d') AS computed, strftime(tm + INTERVAL 7 DAY, '%Y-%m-%d') AS valid_until,
+  round(CASE WHEN labelled = 0 THEN 50 ELSE greatest(0, least(100, 40 * good + 30 * q + 30 * (1 - dup) - 20 * bad + 10 * least(1.0, greatest(0, epoch(tm) - epoch(first)) / 86400 / 365))) END, 5)::DOUBLE AS score FROM c""")
+def credibility_refresh(t: Inputs):
+    """Credibility with age, kept for seven days: some sources asked for on 1 March, all on the 4th and the 9th, when the first have run out."""
+    d = t.documents.withColumn("seen", F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int")))
+    folder = scratch_path(t.spark, "credibility")
+
+    def ask(day: int, sources):
+        now = datetime(2024, 3, day, tzinfo=timezone.utc)
+
+        def compute(missing):
+            mine = d.join(missing, "source", "left_semi")
+            return V.credibility(mine, t.labels, "source", "doc_id", "text", "seen", F.lit(now)).select("source", "score", "level")
+
+        return V.kept_fresh(folder, sources, "source", compute, now)
+
+    ask(1, d.where("source < 'src2'").select("source"))
+    ask(4, d.select("source"))
+    kept = ask(9, d.select("source"))
+    return kept.select("source", F.date_format("computed_at", "yyyy-MM-dd").alias("computed"), F.date_format("valid_until", "yyyy-MM-dd").alias("valid_until"), F.round("score", 5).alias("score"))
+
+
 def retention_records(t: Inputs):
     rules = [{"data_type": "F", "tags": ["1-URGENT"], "policy": "permanent"}, {"data_type": "F", "policy": "30d"}, {"data_type": "O", "policy": "7d"}]
     pol = RT.policy_of(F.col("o_orderstatus"), F.array("o_orderpriority"), rules)

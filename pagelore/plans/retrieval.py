@@ -222,7 +222,7 @@ def expanded_research(t: Inputs):
 
 
 @query("ret_09_search_context", f"""
-WITH {BM25_SQL} SELECT item_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: doc' || doc_id || chr(10) || 'Content: ' || substr(text, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5
+WITH {BM25_SQL} SELECT item_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: doc' || doc_id || chr(10) || 'Content: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5
 FROM hits JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1""")
 def search_context(t: Inputs):
     d = ranked(t, 5).join(t.spread("documents").select("doc_id", "source", "text"), "doc_id")

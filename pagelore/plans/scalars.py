@@ -237,7 +237,7 @@ def user_agent(t: Inputs):
 
 @query("sca_23_context", """
 WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents),
-c AS (SELECT source, string_agg('[Source ' || rk || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: https://example.org/' || doc_id || chr(10) || 'Content: ' || substr(text, 1, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk) AS c FROM r WHERE rk <= 5 GROUP BY 1)
+c AS (SELECT source, string_agg('[Source ' || rk || ']' || chr(10) || 'Title: ' || source || chr(10) || 'URL: https://example.org/' || doc_id || chr(10) || 'Content: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk) AS c FROM r WHERE rk <= 5 GROUP BY 1)
 SELECT source, length(c) AS n, md5(c) AS context_md5 FROM c""")
 def context(t: Inputs):
     """Context of the five best documents of each source."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import checks as C
 from ..functions import digests as D
 from ..functions import urls as U
 from ..operators.skew import latest_per_key
@@ -215,28 +216,28 @@ def audit_rows(t: Inputs):
 @query("src_14_vector_upsert", """
 WITH m AS (SELECT vec_id AS id, label AS namespace, 0 AS version FROM embeddings
   UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE label IN (3, 7))
-SELECT namespace, id, max(version) AS version, md5(substr(any_value(text), 1, 2000)) AS text_md5
+SELECT namespace, id, max(version) AS version, md5(any_value(text)) AS text_md5, greatest(length(any_value(text)) - 2000, 0)::BIGINT AS over_limit
 FROM m JOIN documents ON doc_id = id GROUP BY 1, 2""")
 def vector_upsert(t: Inputs):
-    """Vectors with metadata; the stored text is limited to 2000 characters by definition."""
+    """Vectors with metadata and their whole text; `over_limit` is what a limit of 2000 characters would cut."""
     v = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("label").alias("namespace"), F.col("vec_id").alias("id"), F.substring("text", 1, 2000).alias("meta"))
+        F.col("label").alias("namespace"), F.col("vec_id").alias("id"), F.col("text").alias("meta"))
     out = crawl_store.upsert(v.withColumn("version", F.lit(0)),
                              v.where(F.col("namespace").isin(3, 7)).withColumn("version", F.lit(1)), ["namespace", "id"])
-    return out.select("namespace", "id", "version", F.md5("meta").alias("text_md5"))
+    return out.select("namespace", "id", "version", F.md5("meta").alias("text_md5"), C.over(F.length("meta"), 2000).alias("over_limit"))
 
 
 @query("src_15_embed_and_store", """
-SELECT md5('https://' || source || '.example.org/' || doc_id) AS id, md5(source || chr(10) || chr(10) || substr(text, 1, 2000)) AS text_md5,
-  length(substr(text, 1, 500)) AS n_meta, 64 AS dims FROM documents""")
+SELECT md5('https://' || source || '.example.org/' || doc_id) AS id, md5(source || chr(10) || chr(10) || text) AS text_md5,
+  length(text) AS n_meta, 64 AS dims, greatest(length(text) - 2000, 0)::BIGINT AS over_text, greatest(length(text) - 500, 0)::BIGINT AS over_meta FROM documents""")
 def embed_and_store(t: Inputs):
-    """Text, id and metadata by the stated rule; the vector comes from the encoder hook."""
+    """Text, id and metadata of whole texts, the vector from the encoder hook; what limits of 2000 and 500 characters would cut."""
     from ..functions.encoders import hashing_encoder
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")
-    body = F.concat("source", F.lit("\n\n"), F.substring("text", 1, 2000))
+    body = F.concat("source", F.lit("\n\n"), F.col("text"))
     return t.documents.select(F.md5(url).alias("id"), F.md5(body).alias("text_md5"),
-                              F.length(F.substring("text", 1, 500)).cast("long").alias("n_meta"),
-                              F.size(hashing_encoder(body)).alias("dims"))
+                              F.length("text").cast("long").alias("n_meta"), F.size(hashing_encoder(body)).alias("dims"),
+                              C.over(F.length("text"), 2000).alias("over_text"), C.over(F.length("text"), 500).alias("over_meta"))
 
 
 @query("src_16_corpus_admin", """

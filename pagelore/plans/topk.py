@@ -63,7 +63,7 @@ def document_order(t: Inputs):
 
 
 @query("top_08_token_budget", f"""
-WITH l AS ({LINES}), r AS (SELECT *, sum(greatest(length(line), 1)) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, i) AS run FROM l)
+WITH l AS ({LINES}), r AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, i) AS run FROM l)
 SELECT doc_id, (i - 1)::INT AS i FROM r WHERE run <= 4 * 150""")
 def token_budget(t: Inputs):
     """Lines by length until 150 tokens (600 characters) are used up."""
@@ -72,9 +72,8 @@ def token_budget(t: Inputs):
 
 
 @query("top_09_overfetch", """
-WITH c AS (SELECT page_id, url, rank FROM (SELECT page_id, url, row_number() OVER (ORDER BY length(html) DESC, page_id) AS rank FROM pages) WHERE rank <= 40)
-SELECT page_id, url FROM c WHERE NOT contains(url, 'page=2') ORDER BY rank LIMIT 20""")
+SELECT page_id, url FROM pages WHERE NOT contains(url, 'page=2') ORDER BY length(html) DESC, page_id LIMIT 20""")
 def overfetch(t: Inputs):
-    """Twice the wanted number is taken, filtered, then cut to the wanted number."""
-    d = t.pages.select("page_id", "url", F.length("html").alias("n")).orderBy(F.col("n").desc(), "page_id").limit(40)
+    """Filtered first and then cut: taking twice the wanted number and filtering after can give fewer than wanted."""
+    d = t.pages.select("page_id", "url", F.length("html").alias("n"))
     return d.where(~F.contains("url", F.lit("page=2"))).orderBy(F.col("n").desc(), "page_id").limit(20).select("page_id", "url")

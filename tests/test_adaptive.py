@@ -79,7 +79,7 @@ def rows(df):
     return out
 
 
-@pytest.mark.parametrize("rules", [StopRules(max_pages=9, confidence=0.93), StopRules(max_pages=None, confidence=None, quality=None, saturation_terms=3.0, max_tries=8)])
+@pytest.mark.parametrize("rules", [StopRules(max_pages=9, confidence=0.93), StopRules(max_pages=None, confidence=None, quality=None, saturation_terms=9.0, max_tries=8)])
 def test_equal_to_a_sequential_crawl(spark, rules):
     pages, links, score, seeds = world()
     got = rows(adaptive_crawl(*frames(spark, pages, links, score, seeds), rules))
