@@ -24,11 +24,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
-from operator import is_not
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,7 +58,7 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # how byte-level vocabularies write a blank
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.room, self.known, self.heads = room, {}, {}
+        self.room, self.known = room, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
@@ -78,37 +76,31 @@ class Encoder:
         self.known.update(zip(new, [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.room:
-            self.known.clear()
-        known, new = self.known, set()
-        held: list[tuple[str, list[str], list[bytes | None], bool] | None] = []
+        known = self.known
+        if len(known) > self.room:
+            known.clear()
+        cuts: list[list[str] | None] = []
+        new: set[str] = set()
         for text in texts:
             if any(a in text for a in self.added):
-                held.append(None)
+                cuts.append(None)
                 continue
-            head, *rest = text.split(" ")
-            data = list(map(known.get, rest))
-            missing = [p for p, d in zip(rest, data, strict=True) if d is None]
-            if not head or head[-1].isspace() or "" in missing or any(map(is_not, missing, map(str.strip, missing))):  # strip gives a piece itself back if it is clean
-                head, *rest = _BETWEEN.split(text)
-                data = list(map(known.get, rest))
-                missing = [p for p, d in zip(rest, data, strict=True) if d is None]
-            new.update(missing)
-            held.append((head, rest, data, bool(missing)))
+            pieces = text.split(" ")
+            mine = set(pieces[1:]).difference(known)
+            if not pieces[0] or pieces[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in mine):
+                pieces = _BETWEEN.split(text)
+                mine = set(pieces[1:]).difference(known)
+            new |= mine
+            cuts.append(pieces)
         if new:
             self._learn(list(new))
-        if len(self.heads) > self.room // 8:
-            self.heads.clear()
-        heads = list({h[0] for h in held if h and h[0]}.difference(self.heads))
-        for head, e in zip(heads, self.tokenizer.encode_batch_fast(heads, add_special_tokens=False), strict=True):
-            self.heads[head] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
         out = []
-        for text, cut in zip(texts, held, strict=True):
-            if cut is None:
+        for text, pieces in zip(texts, cuts, strict=True):
+            if pieces is None:
                 out.append(self._ids(text).tobytes())
             else:
-                head, rest, data, incomplete = cut
-                out.append(self.heads.get(head, b"") + b"".join(map(known.__getitem__, rest) if incomplete else data))
+                head = self._ids(pieces[0]).tobytes() if pieces[0] else b""
+                out.append(head + b"".join(map(known.__getitem__, pieces[1:])))
         return out
 
 
@@ -122,16 +114,6 @@ def _encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def _parts(b: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of (id, text) rows with so many bytes of text, or one row."""
-    ends = np.cumsum(pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < b.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)))
-        yield b.slice(at, to - at)
-        at = to
-
-
 def _file_bytes(width: int, doc_ids: list[int], n_null: int, ends: list[int], ids: list[bytes]) -> bytes:
     smallest = doc_ids[0] if doc_ids else 0
     bounds = EliasFano.encode(ends).to_bytes()
@@ -161,7 +143,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         doc_ids, n_null, ends, ids, total = [], 0, [], [], 0
 
         def encoded(b):
-            for some in _parts(b):
+            for k in range(0, b.num_rows, 64):
+                some = b.slice(k, 64)
                 yield from zip(some.column(0).to_pylist(), (x + end for x in encoder.encode(some.column(1).to_pylist())), strict=True)
 
         def close():
