@@ -14,3 +14,48 @@ def test_copies_of_a_spread_join_are_not_broadcast(spark):
     left, right = spark.range(1000).withColumn("v", F.col("id") * 2), spark.range(50)
     j = S.spread_join(left, right, ["id"], salt_by=["v"])
     assert "Broadcast" not in plan(j) and j.count() == 50
+
+
+def test_year_of_an_address_is_its_last_one(spark):
+    from pagelore.functions.scoring import year_score
+    d = spark.createDataFrame([("https://e.org/en/2043/2014/x",), ("https://e.org/2043",), ("https://e.org/a",)], "u string")
+    assert [r[0] for r in d.select(F.round(year_score(F.col("u"), 2024), 6)).collect()] == [0.0, 1.0, 0.5]
+
+
+def test_every_page_of_a_linked_address_is_scored(spark):
+    links = spark.createDataFrame([(1, "u"), (2, "v")], "page_id int, link string")
+    pages = spark.createDataFrame([(1, "u", "feed", True), (2, "u", "none", True), (3, "u", "feed", False), (4, "v", "feed", False)], "page_id int, url string, title string, ok boolean")
+    assert sorted(tuple(r) for r in G.enriched_links(links, pages, "feed").select("page_id", "score").collect()) == [(1, 0.0), (1, 1.0), (2, 0.0)]
+
+
+def test_character_references_end_in_a_semicolon(spark):
+    from pagelore.functions import dom
+    from pagelore.functions.text import unescape_one
+    p = dom.parse_one('<title>a &amp;&amp</title><p title="x&lty &lt;">&copy 1 &copy; &#65;&#65 &nosuch; &</p><script>a && b &amp; c</script>')
+    assert p["text"] == "a &&amp&copy 1 © A&#65 &nosuch; &"
+    assert dict(p["nodes"][1]["attrs"]) == {"title": "x&lty <"} and p["nodes"][2]["raw"] == "a && b &amp; c"
+    assert unescape_one("&lt;b&gt &eacute;&ampx; &") == "<b&gt é&ampx; &"
+
+
+def test_pages_of_one_address_are_compared_each_with_itself(spark):
+    from pagelore.operators.provenance import citation_diff
+    snap = spark.createDataFrame([(1, "u", "a", 10), (2, "u", "b", 20), (3, "u", "c", 30)], "page_id int, url string, content_sha256 string, n_bytes int")
+    got = citation_diff(snap, snap.where("page_id < 3"), ["page_id", "url"]).select("status").collect()
+    assert sorted(r[0] for r in got) == ["missing_live", "unchanged", "unchanged"]
+
+
+def test_quotations_support_without_negations(spark):
+    from pagelore.operators.provenance import verdicts
+    docs = spark.createDataFrame([(1, "It is not so. One two three four five.")], "doc_id int, text string")
+    claims = spark.createDataFrame([(7, "One two three four five.")], "item_id int, text string")
+    e = spark.createDataFrame([(7, 1, 1.0)], "item_id int, doc_id int, containment double")
+    assert verdicts(e, docs, claims, "item_id", "doc_id", negations=()).first()["verdict"] == "supported"
+    assert verdicts(e, docs, claims, "item_id", "doc_id").first()["verdict"] == "contradicted"
+
+
+def test_input_addresses_come_once_per_page(spark, tmp_path):
+    from pagelore.plans.registry import Inputs
+    from pagelore.plans.sets import input_urls
+    spark.createDataFrame([(1, "https://e.org/de/1"), (2, "https://e.org/de/1"), (3, "https://e.org/en/1")], "page_id int, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1,)], "doc_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[0] for r in input_urls(Inputs(spark, str(tmp_path))).collect()] == ["https://e.org/de/1"] * 2
