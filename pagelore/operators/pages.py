@@ -97,10 +97,10 @@ def metadata() -> dict[str, Column]:
 
 
 def main_content() -> Column:
-    """First trusted container with more than 100 characters, else the longest block over 50, else everything."""
+    """First trusted container with more than 100 characters, else the longest block over 50 (of equal ones an article, then the first), else everything."""
     picks = [let(clean_of(dom.first(_n(), s)), lambda x: F.when(F.length(x) > 100, x)) for s in CONTENT_SELECTORS]
     blocks = F.transform(dom.elements(_n(), "div,section,article"), lambda n, i: let(clean_of(n), lambda x: F.struct(
-        F.length(x).alias("n"), (-i).alias("o"), x.alias("x"))))
+        F.length(x).alias("n"), (n["tag"] == "article").alias("a"), (-i).alias("o"), x.alias("x"))))
     longest = F.array_max(F.filter(blocks, lambda x: x["n"] > 50))["x"]
     return F.coalesce(*picks, longest, X.squeeze(_b()))
 

@@ -59,3 +59,10 @@ def test_input_addresses_come_once_per_page(spark, tmp_path):
     spark.createDataFrame([(1, "https://e.org/de/1"), (2, "https://e.org/de/1"), (3, "https://e.org/en/1")], "page_id int, url string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(1,)], "doc_id int").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r[0] for r in input_urls(Inputs(spark, str(tmp_path))).collect()] == ["https://e.org/de/1"] * 2
+
+
+def test_main_content_prefers_an_article_to_a_block_as_long(spark):
+    from pagelore.functions import dom
+    from pagelore.operators.pages import main_content
+    d = spark.createDataFrame([(f"<div>{'b' * 60}</div><article>{'a' * 60}</article>",)], "html string")
+    assert dom.parse_pages(d).select(main_content()).first()[0] == "a" * 60
