@@ -66,3 +66,17 @@ def test_main_content_prefers_an_article_to_a_block_as_long(spark):
     from pagelore.operators.pages import main_content
     d = spark.createDataFrame([(f"<div>{'b' * 60}</div><article>{'a' * 60}</article>",)], "html string")
     assert dom.parse_pages(d).select(main_content()).first()[0] == "a" * 60
+
+
+def test_pages_are_parsed_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pagelore.functions import dom
+    v = pa.array(["<p class='x'>a<b>b</b></p>" * 20] * 1000 + [None])
+    tracemalloc.start()
+    out = dom.parse_html.func(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1001 and out[1000].as_py() == {"text": "", "nodes": []} and peak < 4 << 20
+    assert len(dom.parse_html.func(pa.array([], pa.string()))) == 0
