@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators.skew import numbered
 from ..streaming import keyed as KD
 from ..streaming import tables as ST
-from ..streaming import timers as TM
 from ..streaming.runner import drain, drain_batches, drain_updates, read_stream, use_rocksdb
 from .registry import Inputs, query
 
@@ -176,9 +176,9 @@ def task_routing(t: Inputs):
     return r.groupBy(F.col("type").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum("retry_seconds").alias("retry_seconds"))
 
 
-def delivered(kind: str, body: str, attempt: int) -> bool:
+def delivered(kind: Column, body: Column, attempt: Column) -> Column:
     """How the messages of this query fare: a web hook succeeds from the attempt that its number asks for."""
-    return kind != "webhook.deliver" or attempt >= int(body) % 7 + 1
+    return (kind != "webhook.deliver") | (attempt >= body.cast("long") % 7 + 1)
 
 
 @query("str_07_retries", f"""
@@ -191,9 +191,9 @@ SELECT id AS event_id, type, attempt::INT AS attempt, waited, CASE WHEN type <>
 def retries(t: Inputs):
     """Messages that come twice and are handled once; failed web hooks come back by timers, up to the fifth attempt, and then are dead letters."""
     kind = F.create_map(*[F.lit(x) for x in ("click", "scrape", "view", "research", "purchase", "embed", "signup", "monitor.check", "error", "webhook.deliver")])
-    m = events(t).select(F.col("event_id").alias("id"), kind[F.col("event_type")].alias("type"), F.col("event_id").cast("string").alias("body"), (F.get_json_object("props", "$.k").cast("int") % 8).alias("attempt"), "ts")
+    m = events(t).select(F.col("event_id").alias("id"), kind[F.col("event_type")].alias("type"), F.col("event_id").cast("string").alias("body"), (F.get_json_object("props", "$.k").cast("int") % 8).alias("attempt"), F.col("ts").cast("double").alias("at"))
     twice = m.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    last = drain_updates(TM.retried(twice, delivered, "1 hour"), "retries", ["id"], F.col("turn"))
+    _, last = ST.retried(twice, delivered, 3600.0)
     return last.select(F.col("id").alias("event_id"), "type", "attempt", "waited", "outcome")
 
 
@@ -206,8 +206,8 @@ SELECT DISTINCT e.delivery_id::BIGINT AS delivery_id, CASE WHEN f.n IS NULL THEN
   coalesce(CASE WHEN won <= 3 AND won <= gave_up THEN won ELSE least(gave_up, coalesce(f.n, 0), 3) END, 0)::INT AS attempts FROM e LEFT JOIN f USING (delivery_id)""")
 def delivery_stream(t: Inputs):
     """Deliveries as a stream: announced, sent, failed, and abandoned after three failures or when the timer of a retry runs out."""
-    a = events(t).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("delivery_id"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") != "signup", F.col("event_type").isin("purchase", "view")).alias("ok"))
-    last = drain_updates(TM.deliveries(a, "1 hour", delay=600.0, grace=3600.0), "deliveries", ["delivery_id"], F.col("turn"))
+    a = events(t).select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("delivery_id"), F.col("event_id").alias("id"), F.col("ts").cast("double").alias("at"), F.when(F.col("event_type") != "signup", F.col("event_type").isin("purchase", "view")).alias("ok"))
+    _, last = ST.deliveries(a, 3600.0, delay=600.0, grace=3600.0)
     return last.select("delivery_id", "state", "attempts")
 
 
