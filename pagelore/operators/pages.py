@@ -216,12 +216,19 @@ def preview_scores(p: DataFrame, query_tokens: Column, status: Column, seconds:
         "quality", F.least(F.lit(1.0), meta * 0.4 + content * 0.3 + technical * 0.3))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns that are computed once per row. A filter or a column above is moved below a projection together with a copy of
+    what it reads, but not below a generator, here of one row."""
+    made = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return made.withColumns({n: F.col("_once")[n] for n in columns}).drop("_once")
+
+
 # ---- tables ---------------------------------------------------------------------------------------------------
 
 def tables(df: DataFrame) -> DataFrame:
     """One row per <table>: its node, index, and the nodes below it."""
     d = df.select("page_id", "url", "body_text", "nodes", F.posexplode(dom.elements(_n(), "table")).alias("table_no", "tb"))
-    return d.withColumn("sub", dom.inside(_n(), F.col("tb"))).drop("nodes")
+    return once(d, {"sub": dom.inside(_n(), F.col("tb"))}).drop("nodes")
 
 
 def _count(tags: str) -> Column:
@@ -268,7 +275,7 @@ def table_rows(t: DataFrame) -> DataFrame:
     thead, tbody = dom.first(sub, "thead"), dom.first(sub, "tbody")
     head_like = let(F.get(trs, F.lit(0)), lambda r: let(within(cells, r), lambda cs: F.size(
         F.filter(cs, lambda c: c["tag"] == "th")) > F.size(F.filter(cs, lambda c: c["tag"] == "td"))))
-    d = t.withColumns({"trs": trs, "cells": cells, "anchors": dom.elements(sub, "a[href]"), "thead": thead, "tbody": tbody,
+    d = once(t, {"trs": trs, "cells": cells, "anchors": dom.elements(sub, "a[href]"), "thead": thead, "tbody": tbody,
                        "head1": F.coalesce(head_like, F.lit(False))})
     head = F.when(F.col("thead").isNotNull(), within(F.col("trs"), F.col("thead"))).when(F.col("head1"), F.slice("trs", 1, 1)).otherwise(F.slice("trs", 1, 0))
     body = (F.when(F.col("thead").isNotNull() & F.col("tbody").isNotNull(), within(F.col("trs"), F.col("tbody")))
@@ -293,8 +300,7 @@ def table_rows(t: DataFrame) -> DataFrame:
         valid = (F.size(rs) >= 2) & (F.array_max(F.transform(rs, lambda r: F.size(r))) >= 2) & (chars >= 10)
         return F.struct(rs.alias("rows"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
-    # rows and their check come from one expression, so a filter on the check does not repeat the extraction
-    out = d.withColumns({"headers": F.coalesce(headers, F.array().cast("array<string>")), "_t": let(F.filter(rows, lambda r: F.size(r) > 0), checked),
+    out = once(d, {"headers": F.coalesce(headers, F.array().cast("array<string>")), "_t": let(F.filter(rows, lambda r: F.size(r) > 0), checked),
                          "caption": clean_of(dom.first(sub, "caption"))})
     return out.withColumns({"rows": F.col("_t.rows"), "valid": F.col("_t.valid")}).drop("trs", "cells", "anchors", "thead", "tbody", "head1", "_t")
 
