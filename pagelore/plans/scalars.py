@@ -87,7 +87,7 @@ WITH t AS (SELECT doc_id, lang, generate_subscripts(regexp_extract_all(lower(tex
 c AS (SELECT doc_id, w, count(*) AS n, min(i) AS p FROM t WHERE length(w) > 3 AND NOT list_contains({STOP['en']}, w) GROUP BY ALL)
 SELECT doc_id, string_agg(w, ' ' ORDER BY n DESC, p) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rn FROM c) WHERE rn <= 10 GROUP BY 1""")
 def keywords(t: Inputs):
-    tok = t.spread("documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("p", "w"))
+    tok = t.by_id("documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("p", "w"))
     tok = tok.where((F.length("w") > 3) & ~F.col("w").isin(X.STOP_WORDS["en"]))
     c = tok.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))
     top = top_per_key(c, ["doc_id"], [F.col("n").desc(), F.col("p")], 10)
