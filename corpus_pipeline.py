@@ -29,7 +29,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, linked by five-word shingles that overlap by 0.8 or more, the document with the smallest id stays."""
+    """Of each group, linked by five-word shingles that overlap by 0.8 or more, the document with the smallest id stays.
+
+    Close copies come from op4's search over SimHash fingerprints, each verified on its shingles; a prefix filter finds the rest.
+    """
     ship_package(spark)
     return shingle_overlap.keep_first(docs)
 

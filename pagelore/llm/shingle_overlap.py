@@ -4,10 +4,12 @@
   similarity 0.8 share at least ceil(0.8 n), so the first p = n - ceil(0.8 n) + 1 of both hold a common one (prefix
   filter). Unlike bits of a SimHash, which at 0.8 differ by any number, this loses no pair.
 * Rows with the same set are one node.
+* First comes the search of op4 (`simhash`): fingerprints of the sets that differ by RADIUS bits at most, by the generalised
+  pigeonhole. It links most close copies before shingles are compared at all. Pairs further apart are left to the filter.
 * The order is by hash, but shingles that occur three times or more in one of `SAMPLE_OF` texts (all, if these are few) come
   last, the more frequent the later: passages that many texts quote do not bring these together, at any size of the input. The
   order steers the cost alone, every order finds all pairs.
-* The sets that share a prefix shingle are a cell. Large cells are first compared with two of their sets, so that a
+* The sets that share a prefix shingle are a cell. Large cells are first compared with two of their sets as well, so that a
   large group of copies does not meet pair by pair; then all pairs that no verified link joins yet are counted over
   all cells, large cells in blocks. Of two prefixes that share c shingles, the last of them at places i and j, the sets
   share c + min(n_a - i, n_b - j) at most, and what the prefix that ends first leaves open at most; most pairs end there.
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
 from ..session import Scratch, free_name, write_and_read
+from . import simhash
 from .simhash import SEED, components
 
 WIDTH = 5
+RADIUS = 3
 HOT = 64
 MOST_HOT = 1 << 18
 BLOCK = 256
@@ -65,8 +69,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, hot: np.ndarray | None, rank: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, digest, fp, n, usual, h): digest of the text, digest and size of its set of shingles, the share of hot ones in it, and the
-    set's prefix, or without `hot` the set."""
+    """(doc_id, digest, fp, n, usual, sim, h): digest of the text, digest and size of its set of shingles, the share of hot ones in it, the
+    set's SimHash fingerprint and its prefix, or without `hot` no fingerprint and the set."""
     shared = None if hot is None else docs.sparkSession.sparkContext.broadcast((hot, rank))  # MOST_HOT numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +82,13 @@ def _sets(docs: DataFrame, hot: np.ndarray | None, rank: np.ndarray | None = Non
                 sets = [shingles(v.as_py()) for v in b.column(1)]
                 fp = np.array([digest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
                 cut = [(s, 0) for s in sets] if shared is None else [_prefix(s, *shared.value) for s in sets]
+                sims = [None if shared is None else simhash.of_hashes(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(2), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), pa.array([u for _, u in cut], pa.int16()),
-                    _lists([h for h, _ in cut])], names=["doc_id", "digest", "fp", "n", "usual", "h"])
+                    pa.array(sims, pa.int64()), _lists([h for h, _ in cut])], names=["doc_id", "digest", "fp", "n", "usual", "sim", "h"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"), F.xxhash64("text").alias("digest"))
-    return rows.mapInArrow(run, "doc_id long, digest long, fp long, n int, usual smallint, h array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest long, fp long, n int, usual smallint, sim long, h array<long>")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +105,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows as (doc_id, digest, fp, n, usual, h), and the members (key, fp, n, usual, at, many) of every cell of two sets or more."""
+    """Rows as (doc_id, digest, fp, n, usual, sim, h), and the members (key, fp, n, usual, at, many) of every cell of two sets or more."""
     rows = scratch.write(_sets(docs, *_frequent(docs)), "prefixes")
     keys = rows.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("n", "usual", "h")]).select("fp", "n", "usual", F.posexplode("h").alias("at", "key")).repartition("key")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -124,6 +129,17 @@ def _sizes_allow() -> Column:
     return 5 * F.least("n", "n_p") >= 4 * F.greatest("n", "n_p")
 
 
+def _by_fingerprint(first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked by the search of op4, each fingerprint by its least set."""
+    of = scratch.write(first.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprints")
+    sims = of.select(F.col("sim").alias("fp"))
+    links = simhash.links(sims, simhash.plan(sims, RADIUS), RADIUS)
+    a, b = (of.select(F.col("sim").alias(x), F.col("least").alias(f"fp_{x}")) for x in "ab")
+    near = links.join(a, "a").join(b, "b").select("fp_a", "fp_b")
+    equal = spread_join(first.select("fp", "sim"), of, ["sim"], salt_by=["fp"]).where("fp <> least").select(F.col("fp").alias("fp_a"), F.col("least").alias("fp_b"))
+    return near.unionByName(equal).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
+
+
 def _with_pivots(cells: DataFrame) -> DataFrame:
     """(a, b): every set of a large cell with two sets of it, one of them that with the most frequent shingles: of texts that
     are copies of one with changes here and there, it is the one without."""
@@ -158,11 +174,12 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows, cells = _cells(docs, scratch)
-    first = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = _verified(scratch.write(_with_pivots(cells), "pairs"), docs, first, scratch)
-    more = _verified(scratch.write(_across(cells, components(links, scratch)), "pairs"), docs, first, scratch)
+    first = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.any_value("sim").alias("sim")), "distinct")
+    close = _by_fingerprint(first, scratch).unionByName(_with_pivots(cells)).distinct()
+    links = _verified(scratch.write(close, "pairs"), docs, first.select("fp", "first"), scratch)
+    more = _verified(scratch.write(_across(cells, components(links, scratch)), "pairs"), docs, first.select("fp", "first"), scratch)
     root = components(links.unionByName(more), scratch)
-    named = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = first.select("fp").join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     found = write_and_read(spread_join(rows.select("doc_id", "digest", "fp"), named, ["fp"], salt_by=["doc_id", "digest"]).select("doc_id", "digest", "fp", "root"), "groups")
     scratch.clear()
     return found

@@ -37,6 +37,19 @@ BLOCK = 2048
 SEED = 42
 
 
+def _votes(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit, the highest bit first."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """Fingerprint of a text whose shingles have these hashes: a bit is 1 if more than half of them set it. No hashes: zero."""
+    votes = np.zeros(BITS, dtype=np.int64)
+    for k in range(0, len(h), 1 << 15):  # long texts: bounded memory
+        votes += _votes(h[k:k + (1 << 15)])
+    return int(np.packbits(votes * 2 > len(h)).view(">i8")[0])
+
+
 def _fingerprint(text: str | None, width: int) -> int:
     from xxhash import xxh64_intdigest as digest
 
@@ -48,8 +61,7 @@ def _fingerprint(text: str | None, width: int) -> int:
     for k in range(0, n, 1 << 15):  # long texts: bounded memory
         part = words[k:k + (1 << 15) + width - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(part)]
-        h = np.array([digest(s, SEED) for s in shingles], dtype=">u8")
-        votes += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        votes += _votes(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
     return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
 
