@@ -5,6 +5,10 @@ Folds run in the JVM through aggregate(). Fixed values are the default sizes of
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import pairwise
+from math import sqrt
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,6 +120,7 @@ def word_chunks(size: int = 1000, overlap: int = 100):
     return chunks
 
 
+TEXTS_AT_ONCE = 32
 TOPIC_STOP = "the a an and or but in on at to for of with by".split()
 
 
@@ -124,32 +129,26 @@ def _vocabulary(s: Column) -> Column:
     return F.filter(toks, lambda w: (F.length(w) > 2) & ~w.isin(TOPIC_STOP))
 
 
-def _counts(toks: Column) -> Column:
-    """Distinct words with their counts."""
-    return X.let(toks, lambda a: X.let(F.array_distinct(a), lambda d: F.map_from_arrays(d, F.transform(
-        d, lambda w: F.size(F.filter(a, lambda x: x == w))))))
-
-
-def cosine_counts(a: Column, b: Column) -> Column:
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
-    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + a[k] * F.coalesce(F.try_element_at(b, k), F.lit(0)))
-    norm = F.sqrt(square(a)) * F.sqrt(square(b))
-    return F.when(norm > 0, dot / norm).otherwise(0.0)
+def window_cosines(sentences: list[list[str]], window: int) -> list[float]:
+    """Cosine of the word counts of neighbouring windows, in time linear in the words of the windows."""
+    counts = [Counter(w for s in sentences[i:i + window] for w in s) for i in range(len(sentences) - window + 1)]
+    square = [sum(x * x for x in c.values()) for c in counts]
+    dots = (sum(x * b[w] for w, x in a.items()) for a, b in pairwise(counts))
+    norms = (sqrt(p) * sqrt(q) for p, q in pairwise(square))
+    return [dot / norm if norm > 0 else 0.0 for dot, norm in zip(dots, norms, strict=True)]
 
 
 def coherence(sents: Column, window: int = 3) -> Column:
-    """Cosine of the word counts of neighbouring windows of `window` sentences."""
-    def over(words):
-        n = F.size(words)
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))),
-                           lambda i: _counts(F.flatten(F.slice(words, i, F.lit(window)))))
+    """Cosine of the word counts of neighbouring windows of `window` sentences. Not for use inside a lambda: the counts are
+    taken in an Arrow function."""
 
-    def pairs(v):
-        m = F.greatest(F.size(v) - 1, F.lit(0))
-        return F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, F.lit(2), m), cosine_counts)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def cosines(v: pa.Array) -> pa.Array:
+        # a few texts at a time: their words as Python objects take many times the room of the Arrow array
+        rows = (s for i in range(0, len(v), TEXTS_AT_ONCE) for s in v.slice(i, TEXTS_AT_ONCE).to_pylist())
+        return pa.array([[] if s is None or len(s) <= window else window_cosines(s, window) for s in rows], pa.list_(pa.float64()))
 
-    empty = F.array().cast("array<double>")
-    return X.let(F.transform(sents, _vocabulary), lambda w: F.when(F.size(w) > window, X.let(over(w), pairs)).otherwise(empty))
+    return cosines(F.transform(sents, _vocabulary))
 
 
 def topic_boundaries(sim: Column, n: Column, window: int = 3, threshold: float = 0.3) -> Column:
@@ -167,12 +166,14 @@ def topic_chunks(c: Column, window: int = 3, min_length: int = 100) -> Column:
         start = lambda i: F.coalesce(F.get(cuts, i - 1), F.lit(0))
         return F.transform(cuts, lambda b, i: F.array_join(F.slice(sents, start(i) + 1, b - start(i)), " "))
 
-    def make(sents):
-        cuts = X.let(coherence(sents, window), lambda sim: topic_boundaries(sim, F.size(sents), window))
+    def make(both):
+        sents = both["sents"]
+        cuts = topic_boundaries(both["sim"], F.size(sents), window)
         merged = _fold(X.let(cuts, lambda k: pieces(sents, k)), lambda cur, s: F.length(s) < min_length, _space)
         return F.when(F.size(sents) <= window, F.array(c)).otherwise(merged)
 
-    return F.when(F.trim(c) == "", F.array().cast(STRINGS)).otherwise(X.let(sentence_chunks(c, 20), make))
+    sents = sentence_chunks(c, 20)
+    return F.when(F.trim(c) == "", F.array().cast(STRINGS)).otherwise(X.let(F.struct(sents.alias("sents"), coherence(sents, window).alias("sim")), make))
 
 
 def merge_small(arr: Column, target: int = 1000, max_size: int = 2000) -> Column:

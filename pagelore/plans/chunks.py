@@ -10,8 +10,8 @@ from .registry import Inputs, query
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
-def rows(t: Inputs, col):
-    return t.spread("documents").select("doc_id", F.posexplode(col).alias("idx", "chunk")).select("doc_id", "idx", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("chunk_md5"))
+def rows(t: Inputs, col, docs=None):
+    return (t.spread("documents") if docs is None else docs).select("doc_id", F.posexplode(col).alias("idx", "chunk")).select("doc_id", "idx", F.length("chunk").cast("long").alias("n"), F.md5("chunk").alias("chunk_md5"))
 
 
 def out_sql(cte: str) -> str:
@@ -51,7 +51,8 @@ def word_cuts(t: Inputs):
 
 @query("chk_05_topics")
 def topics(t: Inputs):
-    return rows(t, C.topic_chunks(F.col("text")))
+    # much work per text: pieces of bounded size, however large the table
+    return rows(t, C.topic_chunks(F.col("text")), t.by_id("documents", piece=2 << 20))
 
 
 @query("chk_06_hybrid")

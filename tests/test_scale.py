@@ -145,3 +145,33 @@ def test_periods_of_usual_keys_are_shuffled_once(spark, monkeypatch):
     hot = J.interval_join(facts, periods, ["user"], "day", "start", "end", salt_by=["fact"])
     assert sorted((r.fact, r.start) for r in hot.collect()) == sorted(want) and len(want) > 1000
     assert periods.count() < shuffled_rows(hot) - facts.where("user is not null").count() + 10 <= periods.count() + 3 * 15 + 20
+
+
+def test_words_of_windows_are_counted_once(spark):
+    """F32: each distinct word of a window was looked for in all of its words, so long sentences took their square."""
+    import time
+    from collections import Counter
+
+    from pagelore.functions import chunking as C
+    rng = random.Random(32)
+    sents = [[f"word{rng.randrange(12000)}" for _ in range(8000)] for _ in range(6)]
+    d = spark.createDataFrame([([" ".join(s) for s in sents],), (["one two"] * 3,), (None,)], "s array<string>").repartition(1)
+    began = time.time()
+    got = [r[0] for r in d.select(C.coherence(F.col("s"))).collect()]
+    assert time.time() - began < 20
+    c = [Counter(w for s in sents[i:i + 3] for w in s) for i in range(4)]
+    n = [sum(x * x for x in v.values()) ** 0.5 for v in c]
+    want = [sum(v * c[i + 1][k] for k, v in c[i].items()) / (n[i] * n[i + 1]) for i in range(3)]
+    assert sorted(map(len, got)) == [0, 0, 3] and max(abs(a - b) for a, b in zip(max(got, key=len), want, strict=True)) < 1e-12
+
+
+def test_texts_for_topics_come_in_pieces_of_bounded_size(spark, monkeypatch, tmp_path):
+    """F32: a table of less than a full split per core kept two tasks per core, however long they became."""
+    from pagelore.plans import chunks, registry
+    rng = random.Random(7)
+    texts = [("".join(rng.choice("abcdefgh ") for _ in range(4000)),) for _ in range(3000)]
+    spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = registry.Inputs(spark, str(tmp_path))
+    two = t.by_id("documents", piece=100_000).rdd.getNumPartitions()
+    assert two > 2 * t.spread("documents").rdd.getNumPartitions()
+    assert "REPARTITION_BY_NUM" in plan(chunks.topics(t)) and "REPARTITION_BY_COL" not in plan(chunks.topics(t))
