@@ -89,4 +89,4 @@ def encode(t: Inputs):
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4""")
 def similar_pairs(t: Inputs):
-    return V.similar_pairs(corpus(t).select("id", "embedding"), 0.4)
+    return V.similar_pairs(corpus(t).select("id", "embedding"), 0.4, copies=True)
