@@ -2,76 +2,126 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import combinations
+from math import log, sqrt
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import write_and_read
-from .graph import components
-from .skew import spread_join, top_per_key
+
+PAGES_AT_ONCE = 32
 
 
-def block_terms(blocks: DataFrame, max_terms: int | None = None) -> DataFrame:
-    """(page_id, block, term, weight, before): unit TF-IDF vectors of single words and pairs of neighbours, per page.
+def block_vectors(texts: dict[int, str], max_terms: int | None = None) -> dict[int, list[tuple[int, str, float]]]:
+    """Unit TF-IDF vectors of the blocks of a page as (df, term, weight), rare terms first; terms are single words and pairs of neighbours.
 
-    idf is ln((1 + n) / (1 + df)) + 1 over the page's blocks. The terms of a block stand from rare to frequent, `before` is
-    the squared weight of those ahead of a term. `max_terms` keeps the most frequent terms of a page alone.
+    idf is ln((1 + n) / (1 + df)) + 1 over the page's blocks. `max_terms` keeps the most frequent terms of the page alone.
     """
-    words = F.filter(F.split(F.lower(X.squeeze(F.col("text"))), " "), lambda w: w != "")
-    d = blocks.select("page_id", "block", words.alias("w"))
-    pairs = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = d.select("page_id", "block", F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("term"))
-    tf = terms.groupBy("page_id", "block", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("times"))
+    tf = {}
+    for block, text in texts.items():
+        w = [x for x in text.split(" ") if x]
+        tf[block] = Counter(w + [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)])
+    df = Counter(t for c in tf.values() for t in c)
     if max_terms is not None:
-        df = top_per_key(df, ["page_id"], [F.col("times").desc(), F.col("term")], max_terms)
-    n = tf.select("page_id", "block").distinct().groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(df.select("page_id", "term", "df"), ["page_id", "term"]).join(n, "page_id").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    # a block is part of one page row: its terms are one array
-    v = w.groupBy("page_id", "block").agg(F.array_sort(F.collect_list(F.struct("df", "term", "x"))).alias("v"))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])))
-    v = v.select("page_id", "block", F.posexplode(F.transform("v", lambda t: F.struct(t["term"].alias("term"), (t["x"] / F.col("norm")).alias("weight")))).alias("i", "t"), F.transform("v", lambda t: t["x"] * t["x"] / (F.col("norm") * F.col("norm"))).alias("q"))
-    return v.select("page_id", "block", "t.term", "t.weight", F.aggregate(F.slice("q", 1, F.col("i")), F.lit(0.0), lambda s, x: s + x).alias("before"))
+        times = Counter()
+        for c in tf.values():
+            times.update(c)
+        kept = set(sorted(times, key=lambda t: (-times[t], t))[:max_terms])
+        tf = {b: {t: k for t, k in c.items() if t in kept} for b, c in tf.items()}
+    out = {}
+    for block, c in tf.items():
+        v = sorted((df[t], t, k * (log((1 + len(texts)) / (1 + df[t])) + 1)) for t, k in c.items())
+        norm = sqrt(sum(x * x for _, _, x in v))
+        out[block] = [(n, t, x / norm) for n, t, x in v]
+    return out
 
 
-def similar_blocks(terms: DataFrame, min_similarity: float) -> DataFrame:
-    """(page_id, a, b): pairs of blocks of a page with that cosine or more; exact.
+def linked_blocks(vectors: dict[int, list[tuple[int, str, float]]], min_similarity: float) -> dict[int, int]:
+    """Block -> least block it is linked with by cosines of `min_similarity` or more; exact.
 
     A pair shares a term among the first of either block, up to which their squared weights reach 1 - t^2: what lies behind
-    is shorter than t. So only these rare terms bring pairs together, and their products are summed over all terms.
+    is shorter than t. So only these rare terms bring pairs together; blocks that are linked already are not compared.
     """
-    terms = write_and_read(terms, "block_terms")
-    first = terms.where(F.col("before") <= 1 - min_similarity ** 2 + 1e-9)
-    a, b = first.select("page_id", F.col("block").alias("a"), "term"), first.select("page_id", F.col("block").alias("b"), "term")
-    pairs = a.join(b, ["page_id", "term"]).where("a < b").select("page_id", "a", "b").distinct()
-    left = terms.select("page_id", F.col("block").alias("a"), "term", F.col("weight").alias("x"))
-    right = terms.select("page_id", F.col("block").alias("b"), "term", F.col("weight").alias("y"))
-    dot = pairs.join(left, ["page_id", "a"]).join(right, ["page_id", "b", "term"]).groupBy("page_id", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return dot.where(F.round("s", 9) >= min_similarity).select("page_id", "a", "b")
+    least = {b: b for b in vectors}
+
+    def find(b: int) -> int:
+        while least[b] != b:
+            least[b] = b = least[least[b]]
+        return b
+
+    index = defaultdict(list)
+    for block, v in vectors.items():
+        before = 0.0
+        for _, t, x in v:
+            if before > 1 - min_similarity ** 2 + 1e-9:
+                break
+            index[t].append(block)
+            before += x * x
+    weights = {b: {t: x for _, t, x in v} for b, v in vectors.items()}
+    seen = set()
+    for together in index.values():
+        for a, b in combinations(together, 2):
+            x, y = find(a), find(b)
+            if x == y or (a, b) in seen:
+                continue
+            seen.add((a, b))
+            u, v = weights[a], weights[b]
+            if round(sum(w * v.get(t, 0.0) for t, w in u.items()), 9) >= min_similarity:
+                least[max(x, y)] = min(x, y)
+    return {b: find(b) for b in vectors}
+
+
+def clusters_of(blocks: list[dict], min_similarity: float, min_words: int, k: int, max_terms: int | None) -> list[dict]:
+    """The k clusters with most words of one page, from its blocks (block, text, words); text is lower-cased and squeezed."""
+    first = {}
+    for b in sorted(blocks, key=lambda b: b["block"]):
+        if b["text"]:
+            first.setdefault(b["text"], b["block"])
+    linked = linked_blocks(block_vectors({b: text for text, b in first.items()}, max_terms), min_similarity)
+    sizes = defaultdict(lambda: [0, 0])
+    for b in blocks:
+        c = sizes[linked[first[b["text"]]] if b["text"] else b["block"]]
+        c[0] += 1
+        c[1] += b["words"] or 0
+    best = sorted((-words, c, n) for c, (n, words) in sizes.items() if words >= min_words)[:k]
+    return [{"cluster": c, "n_blocks": n, "words": -words, "rank": i + 1} for i, (words, c, n) in enumerate(best)]
+
+
+CLUSTERS = T.ArrayType(T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("n_blocks", T.LongType()),
+                                     T.StructField("words", T.LongType()), T.StructField("rank", T.IntegerType())]))
+_CLUSTERS = pa.list_(pa.struct([("cluster", pa.int32()), ("n_blocks", pa.int64()), ("words", pa.int64()), ("rank", pa.int32())]))
 
 
 def page_clusters(blocks: DataFrame, min_similarity: float = 0.8, min_words: int = 10, k: int = 3, max_terms: int | None = None,
                   query: str | None = None, least_overlap: float = 0.3) -> DataFrame:
     """(page_id, cluster, n_blocks, words, rank): the k clusters with most words of each page, named by their first block.
 
-    Blocks are linked by the cosine of their TF-IDF vectors and joined by components. Equal texts of a page are one block of
+    Blocks are linked by the cosine of their TF-IDF vectors and joined by components. The texts of a page are shuffled once, to
+    its row; terms and pairs of blocks are made and used there and never leave it. Equal texts of a page are one block of
     the search, so a page that repeats a text a thousand times makes no pairs of it. With a `query`, only blocks whose words
     overlap with it (Jaccard) by `least_overlap` take part.
 
     Cases: a block without words is a cluster of its own; null texts count as empty; pages without blocks give no rows.
     """
-    b = blocks.select("page_id", "block", F.coalesce("text", F.lit("")).alias("text"), "words")
+    b = blocks.select("page_id", "block", F.lower(X.squeeze(F.coalesce("text", F.lit("")))).alias("text"), "words")
     if query is not None:
         asked = X.literal_set(sorted(set(query.lower().split())))
-        mine = F.array_distinct(F.filter(F.split(F.lower(X.squeeze(F.col("text"))), " "), lambda w: w != ""))
+        mine = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
         b = b.where(F.size(F.array_intersect(mine, asked)) >= least_overlap * F.size(F.array_union(mine, asked)))
-    b = write_and_read(b.withColumn("same", F.md5(F.lower(X.squeeze(F.col("text"))))), "blocks")
-    one = b.where(F.trim("text") != "").groupBy("page_id", "same").agg(F.min("block").alias("first"), F.min_by("text", "block").alias("text"))
-    pairs = similar_blocks(block_terms(one.select("page_id", F.col("first").alias("block"), "text"), max_terms), min_similarity)
-    name = lambda c: F.concat(F.col("page_id").cast("string"), F.lit(":"), F.lpad(F.col(c).cast("string"), 12, "0"))
-    linked = components(pairs.select(name("a").alias("src"), name("b").alias("dst")))
-    member = b.join(one.select("page_id", "same", "first"), ["page_id", "same"], "left").withColumn("node", name("first"))
-    named = spread_join(member, linked, ["node"], "left", salt_by=["block"])
-    cluster = F.coalesce(F.split("component", ":")[1].cast("int"), F.col("first").cast("int"), F.col("block").cast("int"))
-    c = named.groupBy("page_id", cluster.alias("cluster")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("words").cast("long").alias("words"))
-    return top_per_key(c.where(F.col("words") >= min_words), ["page_id"], [F.col("words").desc(), F.col("cluster")], k)
+    pages = b.groupBy("page_id").agg(F.collect_list(F.struct("block", "text", "words")).alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a few pages at a time: their texts as Python objects take many times the room of the Arrow array
+            for i in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(i, PAGES_AT_ONCE)
+                found = [clusters_of(x, min_similarity, min_words, k, max_terms) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _CLUSTERS)], names=["page_id", "clusters"])
+
+    out = pages.mapInArrow(run, T.StructType([pages.schema["page_id"], T.StructField("clusters", CLUSTERS)]))
+    return out.select("page_id", F.explode("clusters").alias("c")).select("page_id", "c.*")

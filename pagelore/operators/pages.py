@@ -324,11 +324,11 @@ def blocks(df: DataFrame) -> DataFrame:
     drops = dom.elements(_n(), ",".join(DROPPED_TAGS))
     keep = let(drops, lambda d: F.filter(_n(), lambda n: n["tag"].isin(BLOCK_TAGS) & ~banned(n, d)))
 
-    def chain_divs(n):
+    def chain_divs(n, divs):
         """divs among the five nearest ancestors: ancestors contain the node and lie at most five levels up."""
-        return F.size(F.filter(_n(), lambda a: (a["tag"] == "div") & (a["id"] < n["id"]) & (a["last"] >= n["last"]) & (a["depth"] >= n["depth"] - 5)))
+        return F.size(F.filter(divs, lambda a: (a["id"] < n["id"]) & (a["last"] >= n["last"]) & (a["depth"] >= n["depth"] - 5)))
 
-    def rows(n, drops):
+    def rows(n, drops, divs):
         hints = sum(((F.contains(F.lower(F.coalesce(n["attrs"]["class"], F.lit(""))), F.lit(h))).cast("int") * 3
                      + F.contains(F.lower(F.coalesce(n["attrs"]["id"], F.lit(""))), F.lit(h)).cast("int") * 3 for h in CONTENT_HINTS), F.lit(0))
         # dropped elements inside the block do not count as its text
@@ -338,10 +338,10 @@ def blocks(df: DataFrame) -> DataFrame:
             F.greatest(acc["at"], x["b"]).alias("at"),
             F.concat(acc["s"], F.when(x["a"] > acc["at"], F.substring(_b(), acc["at"] + 1, x["a"] - acc["at"])).otherwise("")).alias("s")))
         body = let(own, lambda o: F.concat(o["s"], F.substring(_b(), o["at"] + 1, n["t1"] - o["at"])))
-        return F.struct(n["id"].alias("block"), n["tag"].alias("tag"), X.squeeze(body).alias("text"), chain_divs(n).alias("divs"),
+        return F.struct(n["id"].alias("block"), n["tag"].alias("tag"), X.squeeze(body).alias("text"), chain_divs(n, divs).alias("divs"),
                         (lookup(n["tag"], TAG_SCORES, 0) + hints).alias("score"))
 
-    d = df.select("page_id", F.explode(let(drops, lambda dr: F.transform(keep, lambda n: rows(n, dr)))).alias("b")).select("page_id", "b.*")
+    d = df.select("page_id", F.explode(let(drops, lambda dr: let(dom.elements(_n(), "div"), lambda divs: F.transform(keep, lambda n: rows(n, dr, divs))))).alias("b")).select("page_id", "b.*")
     words = X.word_count(F.col("text"))
     semantic = F.col("tag").isin("article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6")
     return d.where((F.col("divs") <= 3) & (semantic | ((F.length("text") > 20) & (words >= 5))) & (words >= 3)).withColumn("words", words).drop("divs")
