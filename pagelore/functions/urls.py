@@ -108,7 +108,10 @@ def _resolve(base: Column, ref: Column) -> Column:
     ref_path = F.regexp_extract(ref, split_at, 1)
     ref_tail = F.regexp_extract(ref, split_at, 2)
     no_frag = F.regexp_replace(base, r"#.*$", "")
+    # the common form of a link, whose parts need not be looked for
+    rooted = ref.rlike(r"^/(?!/)[^\n\r\u0085\u2028\u2029]*\z") & ~F.contains(ref, F.lit("/."))
     return (F.when(ref.isNull() | (ref == ""), base)
+            .when(rooted, F.concat(root, ref))
             .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
             .when(ref.startswith("//"), F.concat(sch, F.lit(":"), ref))
             .when(ref.startswith("#"), F.concat(no_frag, ref))

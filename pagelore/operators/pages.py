@@ -288,12 +288,12 @@ def table_rows(t: DataFrame) -> DataFrame:
         hrefs = F.transform(F.filter(anchors, lambda a: (a["id"] > c["id"]) & (a["id"] <= c["last"])),
                             lambda a: F.struct(clean_of(a).alias("text"), U.resolve(F.col("url"), a["attrs"]["href"]).alias("url")))
         extra = F.greatest(F.coalesce(c["attrs"]["colspan"].try_cast("int"), F.lit(1)) - 1, F.lit(0))
-        return F.concat(F.array(F.struct(clean_of(c).alias("text"), hrefs.alias("links")).cast(cell_t)), F.array_repeat(pad, extra))
+        return F.concat(F.array(F.struct(clean_of(c).alias("text"), hrefs.alias("links"))), F.array_repeat(pad, extra))
 
     # bound once: a column used inside a lambda would otherwise be inlined and evaluated per cell
     rows = let(F.col("anchors"), lambda an: let(F.col("cells"), lambda cs: F.transform(
         body, lambda r: F.flatten(F.transform(within(cs, r), lambda c: cell(c, an))))))
-    headers = F.transform(within(F.col("cells"), F.get(head, F.lit(0))), clean_of)
+    headers = let(F.get(head, F.lit(0)), lambda h: F.transform(within(F.col("cells"), h), clean_of))
 
     def checked(rs):
         chars = F.aggregate(F.flatten(rs), F.lit(0), lambda a, c: a + F.length(c["text"]))
