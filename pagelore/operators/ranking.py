@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_tokens
+from ..functions.text import let, text_tokens
 from ..session import write_and_read
 from .skew import previous_row, top_per_key
 
@@ -49,16 +49,40 @@ def bm25_corpus(post: DataFrame, queries: DataFrame, doc: str, query: str) -> Da
     return hit.groupBy(query, doc).agg(F.sum(F.col("qtf") * F.col("idf") * _gain(F.col("tf"), F.col("dl"), avgdl)).alias("score"))
 
 
-def bm25_inside(post: DataFrame, queries: DataFrame, page: str, block: str) -> DataFrame:
-    """BM25 where every page is a corpus of its blocks. Everything is keyed by page."""
-    blocks = post.groupBy(page, block).agg(F.first("dl").alias("dl"))
-    stats = blocks.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy(page, "tok").agg(F.count(F.lit(1)).alias("df")).join(stats, page).withColumn("idf", _idf(F.col("n"), F.col("df")))
-    mean = df.groupBy(page).agg(F.avg("idf").alias("mean_idf"))
-    idf = df.join(mean, page).select(page, "tok", "avgdl", F.when(F.col("idf") < 0, F.col("mean_idf") * EPS).otherwise(F.col("idf")).alias("idf"))
-    q = queries.groupBy(page, "tok").agg(F.count(F.lit(1)).alias("qtf")).join(idf, [page, "tok"])
-    return post.join(q, [page, "tok"]).groupBy(page, block).agg(
-        F.sum(F.col("qtf") * F.col("idf") * _gain(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+def bm25_inside(blocks: Column, query: Column) -> Column:
+    """array<struct<i, score>>: BM25 of the blocks (arrays of tokens) of a page that share a token with the query, the page being the corpus.
+
+    Everything is counted in the page's row: its tokens, one of each block, are sorted once, so that the length of a run is the
+    number of blocks that hold it. No token leaves the row.
+    """
+    occurs = lambda arr, tok: F.size(arr) - F.size(F.array_remove(arr, tok))
+
+    def weights(q, n, held, at):
+        idf = F.transform(at, lambda s, k: F.struct(F.get(held, s).alias("tok"), _idf(n, F.coalesce(F.get(at, k + 1), F.size(held)) - s).alias("idf")))
+
+        def of_query(all_idf):
+            mean = F.aggregate(all_idf, F.lit(0.0), lambda s, x: s + x["idf"]) / F.greatest(F.size(all_idf), F.lit(1))
+            return let(mean, lambda m: F.transform(F.filter(all_idf, lambda x: F.array_contains(q, x["tok"])), lambda x: F.struct(
+                x["tok"].alias("tok"), (occurs(q, x["tok"]) * F.when(x["idf"] < 0, m * EPS).otherwise(x["idf"])).alias("w"))))
+
+        return let(idf, of_query)
+
+    def scored(bs, q, st, w):
+        def score(b, hit):
+            return F.when(F.size(hit) > 0, F.aggregate(w, F.lit(0.0), lambda s, x: s + x["w"] * _gain(occurs(hit, x["tok"]), F.size(b), st["avgdl"])))
+
+        each = F.transform(bs, lambda b, i: F.struct(i.alias("i"), let(F.filter(b, lambda t: F.array_contains(q, t)), lambda hit: score(b, hit)).alias("score")))
+        return F.filter(each, lambda x: x["score"].isNotNull())
+
+    def run(bs, q):
+        n = F.size(F.filter(bs, lambda b: F.size(b) > 0))
+        stats = F.struct(n.alias("n"), (F.aggregate(bs, F.lit(0).cast("long"), lambda s, b: s + F.size(b)) / F.greatest(n, F.lit(1))).alias("avgdl"))
+        held = F.sort_array(F.flatten(F.transform(bs, lambda b: F.array_distinct(b))))
+        places = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = lambda h: F.filter(places(h), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        return let(stats, lambda st: let(held, lambda h: let(starts(h), lambda at: let(weights(q, st["n"], h, at), lambda w: scored(bs, q, st, w)))))
+
+    return let(blocks, lambda bs: let(query, lambda q: run(bs, q)))
 
 
 def best_blocks(scores: DataFrame, page: str, block: str, k: int = 10, threshold: float = 1.0) -> DataFrame:
